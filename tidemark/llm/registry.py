@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .best_fit_packing import best_fit_packing
+from .media_columns import FIELDS, media_columns
 from .token_counts import token_counts
+from .warc import archive
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -21,12 +23,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents")).select(*FIELDS)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
+    "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {}
