@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .best_fit_packing import best_fit_packing
 from .media_columns import FIELDS, media_columns
 from .token_counts import token_counts
+from .toxicity import toxicity, train
 from .warc import archive
 
 WORD_BPE = "word_bpe_49k.json"
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -36,6 +42,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
