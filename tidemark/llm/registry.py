@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
 from .media_columns import FIELDS, media_columns
+from .near_dedup import near_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity, train
 from .warc import archive
@@ -42,6 +43,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_warc": op10_warc,
 }
 TOPK_SQL = """
