@@ -11,6 +11,7 @@ from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
 from .media_columns import FIELDS, media_columns
 from .near_dedup import near_dedup
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity, train
 from .warc import archive
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -52,6 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
