@@ -11,18 +11,24 @@ from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
 from .media_columns import FIELDS, media_columns
 from .near_dedup import near_dedup
+from .sentence_pieces import round_trip
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity, train
 from .warc import archive
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -57,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_toxicity": op5_toxicity,
