@@ -1,9 +1,11 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
 Documents with the same shingle set are one class from the start.  Of each
-class the 64 smallest shingle hashes are retained.  Inverted lists of the 32
+class the 64 smallest shingle hashes are retained.  Inverted lists of the 12
 smallest give candidates, the union of two sketches estimates their Jaccard
-similarity, and the full sets decide.
+similarity, and the full sets decide.  Long lists are not paired: their
+members' full sets are counted against each other block by block, and only
+the links that join something are given out.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ from .hashing import mix, window_hashes, word_hashes
 STEP = 4 << 20
 RETAINED = 64
 INDEXED = 32
+LISTED = 12
 #: Two sets of similarity 0.75 share so many of their 32 smallest hashes, but
-#: for a chance of about 1e-7; a set of fewer hashes must share this part of them.
+#: for a chance of about 1e-7; a set of fewer hashes must share this part of
+#: them.  That they share none of their 12 smallest has a chance of 6e-8.
 SHARED = 11
 #: Estimates from 64 hashes of such sets are below this with a chance of about 1e-6.
 ESTIMATE = 0.5
 WORDS = 5
 GROUP = 256  # partners of a document that one task compares
-STAR_ROUNDS = 3
+CROWD = 32  # the longest list whose pairs are listed
+BLOCK = 8 << 20  # bytes of text that one task holds of a longer list, twice
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -71,23 +76,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def index(classes: DataFrame) -> DataFrame:
-    """``value, node, n``: the inverted lists, without what cannot give a link.
+    """``value, node, n, often``: the inverted lists of more than one node.
 
-    A class that links with another shares ``SHARED`` of its indexed values (a
-    like part of a smaller sketch) with it.  With its values from the rarest to
-    the most frequent, one of those is among the first ``size - SHARED + 1``;
-    values that only one class has come first, and the others up to there are
-    all that must be listed.
+    A class that links with another shares ``SHARED`` of its ``INDEXED``
+    smallest values (a like part of a smaller sketch) with it, so those with
+    fewer values that another class has as well are left out.
     """
     size = F.least(F.size("sketch"), F.lit(INDEXED))
-    listed = classes.select("node", F.col("n_shingles").alias("n"), size.alias("size"), F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
+    listed = classes.select("node", F.col("n_shingles").alias("n"), size.alias("size"), F.posexplode(F.slice("sketch", 1, INDEXED)).alias("place", "value"))
     often = listed.groupBy("value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    repeated = listed.join(often, "value")
-    by_class = repeated.groupBy("node", "n", "size").agg(F.array_sort(F.collect_list(F.struct("often", "value"))).alias("found"))  # at most 32
+    found = F.collect_list(F.when(F.col("place") < LISTED, F.col("value"))).alias("found")  # at most 12
+    by_class = listed.join(often, "value").groupBy("node", "n", "size").agg(found, F.count(F.lit(1)).alias("shared"))
     must = F.greatest(F.lit(1), F.floor(F.col("size") * (SHARED / INDEXED)).cast("int"))
-    alone = F.col("size") - F.size("found")
-    keep = F.col("size") - must + 1 - alone
-    return by_class.where(keep > 0).select(F.explode(F.slice("found", F.lit(1), keep)).alias("f"), "node", "n").select("f.value", "node", "n")
+    lists = cut(by_class.where(F.col("shared") >= must).select(F.explode("found").alias("value"), "node", "n"))
+    often = lists.groupBy("value").agg(F.count(F.lit(1)).alias("often"), F.sum("n").alias("words")).where("often > 1")
+    return lists.join(often, "value")
 
 
 def near_sizes(a: str = "n_a", b: str = "n_b"):
@@ -159,53 +162,79 @@ def packed_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
     return texts.join(nodes, ["doc_id", "text_hash"]).select("node", "text").mapInArrow(run, "node long, data binary")
 
 
-def candidates(state: DataFrame, star: bool) -> DataFrame:
-    """``a, b`` of one list and different components: with its next leader, or all."""
-    mixed = state.groupBy("value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("value")
-    unsettled = state.join(mixed, "value")
-    if star:
-        leader = unsettled.groupBy("value").agg(F.min_by(F.struct("node", "n", "component"), F.struct("led", "node")).alias("x"))
-        left = leader.select("value", F.col("x.node").alias("a"), F.col("x.n").alias("n_a"), F.col("x.component").alias("c_a"))
-    else:
-        left = unsettled.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = unsettled.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = left.join(right, "value").where((F.col("c_a") != F.col("c_b")) & near_sizes())
-    return (pairs if star else pairs.where("a < b")).select("a", "b").distinct()
+def listed_pairs(lists: DataFrame) -> DataFrame:
+    """``a, b`` of all lists of at most ``CROWD`` nodes."""
+    short = lists.where(F.col("often") <= CROWD)
+    left = short.select("value", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    right = short.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    return left.join(right, "value").where((F.col("a") < F.col("b")) & near_sizes()).select("a", "b").distinct()
+
+
+def forest(sets: list[np.ndarray], first: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all sets which any links between them join, as places.
+
+    ``first`` parts the sets in two; if both parts have some, only links from
+    one to the other are looked for.  One set at a time is marked and counted in
+    all others that are not yet joined to it.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark, label, out = np.zeros(int(ids.max()) + 1, bool), np.arange(len(sets)), []
+    two = first.any() and not first.all()
+    for a in np.flatnonzero(first).tolist() if two else range(len(sets)):
+        near = (100 * np.minimum(sizes, sizes[a]) >= 75 * np.maximum(sizes, sizes[a])) & (label != label[a])
+        near &= ~first if two else np.arange(len(sets)) > a
+        others = np.flatnonzero(near)
+        if not len(others):
+            continue
+        n = sizes[others]
+        cuts = np.cumsum(n) - n
+        places = np.arange(int(n.sum())) + np.repeat(starts[others] - cuts, n)
+        mark[ids[starts[a] : starts[a] + sizes[a]]] = True
+        common = np.add.reduceat(mark[ids[places]], cuts, dtype=np.int64)
+        mark[ids[starts[a] : starts[a] + sizes[a]]] = False
+        for b in others[100 * common >= 75 * (sizes[a] + n - common)].tolist():
+            if label[b] != label[a]:
+                label[label == label[b]] = label[a]
+                out.append((a, b))
+    return out
+
+
+def crowd_links(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: links that join what any links within a list of more than ``CROWD`` nodes join.
+
+    A list's nodes are dealt to parts of about ``BLOCK`` bytes; every two parts
+    meet in one task, which compares all full sets.
+    """
+    parts = F.ceil(F.col("words") * 8 / BLOCK)
+    part = F.pmod(F.xxhash64("node"), parts)
+    dealt = lists.where(F.col("often") > CROWD).select("value", "node", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+    sent = dealt.select("value", "node", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(texts, "node")
+
+    def run(table):
+        held = {n: (p, d) for n, p, d in zip(table["node"].to_pylist(), table["part"].to_pylist(), table["data"].to_pylist(), strict=True)}
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        nodes, unpack = sorted(held), zstandard.ZstdDecompressor().decompress
+        first = np.array([held[n][0] == i for n in nodes])
+        found = [] if i != j and (first.all() or not first.any()) else forest(list(sets_of([unpack(held[n][1]) for n in nodes])), first)
+        return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.int64()), "b": pa.array([nodes[y] for _, y in found], pa.int64())})
+
+    return sent.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``a, b``: enough verified links between classes to connect all that are linked.
+    """``a, b``: verified links between classes that connect all that are linked.
 
-    First some rounds of stars: each list's smallest node that has not led yet
-    is compared with those of other components, which costs no more than the
-    lists' length.  Then follows every pair of a list whose nodes are still in
-    different components.  No pair is left out but those that the sizes, the
-    estimate or an earlier comparison decide.
+    No pair of a list is left out but those whose sizes or estimate rule them
+    out, and in long lists those that other links join already.
     """
     lists = cut(index(classes))
     wanted = classes.join(lists.select("node").distinct(), "node")
     sketch = wanted.select("node", F.col("sketch").alias("data"))
     texts = cut(packed_texts(docs, wanted.select("node", "rep.*"), id_col, text_col))
-    found = tried = classes.sparkSession.createDataFrame([], "a long, b long")
-    state, star = lists.withColumns({"component": F.col("node"), "led": F.lit(0)}), 0
-    while True:
-        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = cut(candidates(state, star < STAR_ROUNDS).join(both, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if star >= STAR_ROUNDS:
-                return found
-            star = STAR_ROUNDS
-            continue
-        maybe = cut(compare(pairs, sketch, estimated))
-        found = cut(found.unionByName(compare(maybe, texts, similar)))
-        if star >= STAR_ROUNDS:
-            return found
-        star += 1
-        tried = cut(tried.unionByName(pairs))
-        label = components(found)
-        led = tried.select(F.col("a").alias("node")).distinct().withColumn("led", F.lit(1))
-        state = lists.join(label, "node", "left").join(led, "node", "left")
-        state = cut(state.select("value", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("led", F.lit(0)).alias("led")))
+    maybe = cut(compare(listed_pairs(lists), sketch, estimated))
+    return cut(compare(maybe, texts, similar).unionByName(crowd_links(lists, texts)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
