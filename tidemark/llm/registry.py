@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_fit_packing import best_fit_packing
 from .exact_topk import exact_topk
+from .line_dedup import line_dedup
 from .media_columns import FIELDS, media_columns
 from .near_dedup import near_dedup
 from .sentence_pieces import round_trip
@@ -29,6 +31,11 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -64,6 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_toxicity": op5_toxicity,
@@ -89,4 +97,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
        CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": TOPK_SQL, "op10_warc": WARC_SQL}
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM s),
+f AS (SELECT *, CASE WHEN next IS NULL THEN false ELSE row_number() OVER (PARTITION BY line, next ORDER BY doc_id, p) > 1 END AS later FROM w),
+r AS (SELECT doc_id, i FROM (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY p), false) AS gone FROM f) WHERE gone),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(r.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL), '') AS kept
+      FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op4_exact_topk": TOPK_SQL, "op10_warc": WARC_SQL}
