@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -28,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more.
+
+    Its cleaner acts on what the driver's two garbage collectors find; between
+    them they may leave the files of finished steps for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def rows_of(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the named columns, so that extra or clashing ones do no harm."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in columns.items()))
