@@ -238,7 +238,7 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per row of ``docs``.
+    """``doc_id, text_hash, n_shingles, component_id, kept`` per row of ``docs``.
 
     Two documents are linked if 100 times the size of the intersection of
     their sets of 5-word shingles is at least 75 times that of the union;
@@ -262,6 +262,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = label.join(least, "component").select("node", "component_id")
     named = classes.join(linked, "node", "left").select(*same, F.coalesce("component_id", "rep.doc_id").alias("component_id"))
-    out = rows.select("doc_id", *same).join(named, same, "left")
+    out = rows.select("doc_id", "text_hash", *same).join(named, same, "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``near_dedup`` keeps."""
+    gone = near_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(F.col(f"`{text_col}`").cast("binary")).eqNullSafe(F.col("_hash"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")

@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_rows
+from .common import cut, release, slices, text_rows
 from .hashing import U, window_hashes, word_hashes
 
 WINDOW = 13
 SHEET = 1 << 20  # bytes of text in a sheet, about; a longer document is one by itself
 NULL_ID = np.iinfo(np.int64).max  # a null id is smaller than none
 
-SHEETS = "sheet long, ids binary, sizes binary, data binary"
+SHEETS = "sheet long, ids binary, hashes binary, sizes binary, data binary"
 REPLY = "sheet long, step int, bucket int, bits binary"
 
 
@@ -45,14 +45,16 @@ def pack_sheets(docs: DataFrame, id_col: str, text_col: str, sheet_bytes: int) -
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
+            hashes = batch.column("text_hash").to_numpy()
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             for i, j in slices([len(t) for t in texts], sheet_bytes):
                 sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-                row = number, ids[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts[i:j]))
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["sheet", "ids", "sizes", "data"])
+                row = ids[i:j].tobytes(), hashes[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts[i:j]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "hashes", "sizes", "data"])
                 number += 1
 
-    return text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, SHEETS)
+    rows = text_rows(docs, id_col, text_col).withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
+    return rows.mapInArrow(run, SHEETS)
 
 
 class Sheet:
@@ -271,7 +273,7 @@ SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, sheet_bytes: int = SHEET) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, spans`` and, if asked, ``kept`` per row of ``docs``.
+    """``doc_id, text_hash, n_words, n_removed, kept_sha256, spans`` and, if asked, ``kept`` per row of ``docs``.
 
     Words are what stands between spaces and 0x09 to 0x0D.  A word is removed
     if it is in a run of ``window`` words whose sequence also starts in a
@@ -289,9 +291,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     sheets = cut(pack_sheets(docs, id_col, text_col, sheet_bytes))
     first = cut(probe(sheets, block_size(window), bits))
-    spark._jvm.System.gc()  # lets go of the shuffle that the checkpoint has made useless
+    release(spark)
     second = cut(verify(sheets, first, window, bits))
-    spark._jvm.System.gc()
+    release(spark)
 
     def finish(row, got):
         s = Sheet(row["ids"], row["sizes"], row["data"])
@@ -303,9 +305,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = b" ".join([w for w, gone in zip(words, own.tolist(), strict=True) if not gone] if removed else words)
             for column, v in zip(out, (n, removed, hashlib.sha256(kept).hexdigest(), spans_of(own) if removed else [], kept), strict=True):
                 column.append(v)
-        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NULL_ID), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "spans": pa.array(out[3], SPAN)}
+        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NULL_ID), "text_hash": pa.array(np.frombuffer(row["hashes"], np.int64)), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "spans": pa.array(out[3], SPAN)}
         return pa.table(columns | ({"kept": pa.array(out[4], pa.binary())} if with_text else {}))
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+    schema = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
     done = with_replies(first.unionByName(second), sheets, finish, schema + (", kept binary" if with_text else ""))
     return done.withColumn("kept", F.col("kept").cast("string")) if with_text else done
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with ``n_removed`` and ``kept``: what ``substring_dedup`` leaves of a text, the text itself if that is all of it."""
+    found = substring_dedup(docs, id_col, text_col, window, with_text=True).where("n_removed > 0")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
+    text, names = F.col(f"`{text_col}`"), [c for c in docs.columns if c not in ("n_removed", "kept")]
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text.cast("binary")) == F.col("_hash"))
+    both = docs.join(found, same, "left")
+    return both.select(*(F.col(f"`{c}`") for c in names), F.coalesce("_removed", F.lit(0)).alias("n_removed"), F.coalesce("_kept", text).alias("kept"))

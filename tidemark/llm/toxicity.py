@@ -228,7 +228,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, whose text scores below ``threshold``.
+
+    Null and empty texts have no feature and stay; repeated rows fare alike.
+    """
     buckets, weights, bias = model.buckets, model.weights, model.bias
 
     def run(batches):
