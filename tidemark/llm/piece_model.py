@@ -25,6 +25,8 @@ UNIGRAM, BPE = 1, 2
 PENALTY = 10.0  # of an unknown character below the least score
 KNOWN = 300_000  # chunks that a worker keeps for good
 PASSING = 200_000  # and for a while
+FILTER = 22  # bits of a hash that tell most substrings from pieces
+PAIRS = 21  # bits of the table of neighbours that were looked at
 CELLS = 1 << 21  # places by piece lengths looked at together
 
 
@@ -101,7 +103,10 @@ class Pieces(dict):
             raise ValueError("two pieces share a hash")
         rest = "".join(re.escape(c) for c in sorted(inside - {SPACE}))
         self.unit = re.compile(f"{SPACE}*[{rest}]+|{SPACE}+|.", re.DOTALL)
-        self.pairs, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.present = np.zeros(1 << FILTER, bool)
+        self.present[(keys >> U(64 - FILTER)).astype(np.int64)] = True
+        self.pair_keys, self.pair_good = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
+        self.word_ids: dict[str, bytes] = {}
         if self.kind == BPE:
             self._merges()
 
@@ -121,8 +126,12 @@ class Pieces(dict):
         """Symbols of all substrings of ``n`` characters by start, -1 for none."""
         with np.errstate(over="ignore"):
             keys = mix((sums[:, n:] - sums[:, :-n]) * self._powers(INVERSE, sums.shape[1] - n) + U(n))
+        out = np.full(keys.shape, -1)
+        maybe = np.nonzero(self.present[(keys >> U(64 - FILTER)).astype(np.int64)])
+        keys = keys[maybe]
         at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, self.by_key[at], -1)
+        out[maybe] = np.where(self.hashes[at] == keys, self.by_key[at], -1)
+        return out
 
     def _hash_all(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.uint64)
@@ -186,26 +195,27 @@ class Pieces(dict):
     def neighbours(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges leave ``a`` and ``b`` as they are, side by side."""
         keys = a << 32 | b
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
-        new = np.unique(keys[self.pairs[at] != keys]) if len(self.pairs) else np.unique(keys)
-        if len(new):
-            good = np.zeros(len(new), bool)
+        slot = (mix(keys.astype(np.uint64)) >> U(64 - PAIRS)).astype(np.int64)
+        known = self.pair_keys[slot] == keys
+        good = self.pair_good[slot]
+        if not known.all():
+            missing = np.flatnonzero(~known)
+            new, place = np.unique(keys[missing], return_inverse=True)
+            found = np.zeros(len(new), bool)
             lefts, rights = new >> 32, new & 0xFFFFFFFF
             texts = [self.symbols[x] + self.symbols[y] for x, y in zip(lefts.tolist(), rights.tolist(), strict=True)]
             for places, codes in by_length(texts):
                 ends = self.merged(codes)
                 rest = (ends[:, 2:] < 0).all(axis=1) if ends.shape[1] > 2 else True
-                good[places] = (ends[:, 0] == lefts[places]) & (ends[:, 1] == rights[places]) & rest
-            keys_, good_ = np.concatenate([self.pairs, new]), np.concatenate([self.pair_good, good])
-            order = np.argsort(keys_, kind="stable")
-            self.pairs, self.pair_good = keys_[order], good_[order]
-            at = np.searchsorted(self.pairs, keys)
-        return self.pair_good[at]
+                found[places] = (ends[:, 0] == lefts[places]) & (ends[:, 1] == rights[places]) & rest
+            good[missing] = found[place]
+            self.pair_keys[slot[missing]], self.pair_good[slot[missing]] = keys[missing], good[missing]
+        return good
 
     # Viterbi
 
-    def viterbi(self, codes: np.ndarray) -> list[list[int]]:
-        """Symbols of each word on its best path; all words have one length."""
+    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols on each word's best path, at the end of a row, and how many; all words have one length."""
         words, length = codes.shape
         most = min(self.longest, length)
         sums = self._sums(codes)
@@ -232,37 +242,44 @@ class Pieces(dict):
                 gain = np.where(open_, best[:, before] + self.score[symbol], -np.inf)
             chosen = gain.argmax(axis=1)
             best[:, j], back[:, j], last[:, j] = gain[every, chosen], chosen + 1, np.where(np.isneginf(gain[every, chosen]), -1, symbol[every, chosen])
-        out: list[list[int]] = [[] for _ in range(words)]
-        end = np.full(words, length)
+        path, end, place = np.full((words, length), -1), np.full(words, length), length
         while (end > 0).any():
+            place -= 1
             row = np.flatnonzero(end > 0)
             if np.isneginf(best[row, end[row]]).any():
                 raise AssertionError("a word without a path")
-            for r, s in zip(row.tolist(), last[row, end[row]].tolist(), strict=True):
-                out[r].append(s)
+            path[row, place] = last[row, end[row]]
             end[row] -= back[row, end[row]]
-        return [path[::-1] for path in out]
+        # all paths end in the last column, so a shorter one starts later
+        return path, (path >= 0).sum(axis=1)
 
     def units(self, words: list[str]) -> dict[str, bytes]:
         """Packed ids of each word (characters of pieces, maybe after spaces) or single other character."""
         out, todo = {}, []
         for w in words:
-            if w in self.number or all(c in self.number for c in w):
+            if len(w) > 1 or w in self.number:
                 todo.append(w)
             else:
-                out[w] = self.byte_ids[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)].astype("<u4").tobytes()
+                out[w] = self.as_bytes(w)
         for places, codes in by_length(todo):
             step = max(1, CELLS // (min(self.longest, codes.shape[1]) * (codes.shape[1] + 1)))
             for a in range(0, len(places), step):
-                for place, path in zip(places[a : a + step].tolist(), self.viterbi(codes[a : a + step]), strict=True):
-                    ids = self.piece[path]
-                    if (ids >= 0).all():
-                        out[todo[place]] = ids.astype("<u4").tobytes()
+                path, n = self.viterbi(codes[a : a + step])
+                ids = self.piece[path]
+                whole = ((ids >= 0) | (path < 0)).all(axis=1).tolist()
+                width = 4 * path.shape[1]
+                packed = ids.astype("<u4").tobytes()
+                for r, (place, k) in enumerate(zip(places[a : a + step].tolist(), n.tolist(), strict=True)):
+                    if whole[r]:
+                        out[todo[place]] = packed[(r + 1) * width - 4 * k : (r + 1) * width]
                     else:  # characters that are no pieces become bytes
-                        parts = [np.array([i]) if i >= 0 else self.byte_ids[np.frombuffer(self.symbols[s].encode(), np.uint8)] for i, s in zip(ids.tolist(), path, strict=True)]
-                        out[todo[place]] = np.concatenate(parts).astype("<u4").tobytes()
+                        row = [(int(i), int(s)) for i, s in zip(ids[r], path[r], strict=True) if s >= 0]
+                        out[todo[place]] = b"".join([np.array([i], "<u4").tobytes() if i >= 0 else self.as_bytes(self.symbols[s]) for i, s in row])
         return out
 
+    def as_bytes(self, text: str) -> bytes:
+        return self.byte_ids[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].astype("<u4").tobytes()
+
     # Texts
 
     @staticmethod
@@ -282,9 +299,13 @@ class Pieces(dict):
         new = list(chunks.difference(self.keys()))
         self.passing += new[max(0, KNOWN - len(self)) :]
         found = [self.unit.findall(SPACE + c.decode("utf-8", "replace").replace(" ", SPACE)) for c in new]
-        ids = self.units(list(set().union(*found)))
+        known = self.word_ids
+        ids = self.units([w for w in set().union(*found) if w not in known])
+        if len(known) < KNOWN:
+            known.update(ids)
+        get = lambda w: ids.get(w) or known[w]
         for c, parts in zip(new, found, strict=True):
-            self[c] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
+            self[c] = get(parts[0]) if len(parts) == 1 else b"".join([get(p) for p in parts])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, packed as little-endian unsigned 32-bit values."""
