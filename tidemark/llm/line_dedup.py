@@ -27,14 +27,15 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_hash, hashes``: per different (id, text) the hashes of the lines that are not blank."""
+    """``doc_id, text_hash, lines``: per different (id, text) place and hash of each line that is not blank."""
     rows = rows_of(docs, doc_id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("text IS NOT NULL")
-    hashes = F.transform(F.filter(lines_of(F.col("text")), lambda x: ~is_blank(x)), lambda x: F.xxhash64(x))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), hashes.alias("hashes")).dropDuplicates(["doc_id", "text_hash"])
+    every = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.when(~is_blank(x), F.xxhash64(x)).alias("hash")))
+    lines = F.filter(every, lambda x: x["hash"].isNotNull())
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines")).dropDuplicates(["doc_id", "text_hash"])
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """Suffixes (``o, d, pos``) with keys (``a, b``): those whose keys repeat, with the keys' ``rank`` and whether they are ``later``.
+    """Suffixes (``o, d, pos, i``) with keys (``a, b``): those whose keys repeat, with the keys' ``rank`` and whether they are ``later``.
 
     Keys are counted before they are shuffled and sorted by ranges without
     repetition, so that one very frequent line is no hot spot; the join back
@@ -46,23 +47,25 @@ def ranked(pairs: DataFrame) -> DataFrame:
     order = groups.repartitionByRange(n, "a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id() + 1)
     order = cut(order.select("a", "b", "first", "rank"))
     own = F.struct("o", "d", "pos")
-    out = cut(pairs.join(order, ["a", "b"]).select("o", "d", "pos", "rank", (own != F.col("first")).alias("later")))
+    out = cut(pairs.join(order, ["a", "b"]).select("o", "d", "pos", "i", "rank", (own != F.col("first")).alias("later")))
     release(spark)
     return out
 
 
 def suffix_ranks(hashes: DataFrame) -> list[DataFrame]:
-    """``o, d, pos, rank, later`` of the suffixes that share 1, 2, 4, ... first lines with another.
+    """``o, d, pos, i, rank, later`` of the suffixes that share 1, 2, 4, ... first lines with another.
 
     ``hashes`` has ``o`` (a document's place in the order), ``d`` (its number)
-    and the hashes of its lines.  ``later`` says that the same lines start
-    earlier, in an earlier document or further up.
+    and its lines, numbered by ``pos`` without the blank ones and by ``i`` with
+    them.  ``later`` says that the same lines start earlier, in an earlier
+    document or further up.
     """
-    lines = hashes.select("o", "d", F.posexplode("hashes").alias("pos", "a")).withColumn("b", F.lit(0).cast("long"))
+    lines = hashes.select("o", "d", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("o", "d", "pos", "line.i", F.col("line.hash").alias("a"), F.lit(0).cast("long").alias("b"))
     levels, width = [ranked(lines)], 1
     while True:
         ahead = Window.partitionBy("d").orderBy("pos").rangeBetween(width, width)
-        pairs = levels[-1].select("o", "d", "pos", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b IS NOT NULL")
+        pairs = levels[-1].select("o", "d", "pos", "i", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b IS NOT NULL")
         level = ranked(pairs)
         if not level.limit(1).count():
             return levels
@@ -71,7 +74,7 @@ def suffix_ranks(hashes: DataFrame) -> list[DataFrame]:
 
 
 def removed_lines(levels: list[DataFrame], min_lines: int) -> DataFrame:
-    """``d, pos`` of the lines in later copies of runs of ``min_lines`` lines or more.
+    """``d, i`` of the lines in later copies of runs of ``min_lines`` lines or more.
 
     A run's later copy starts with its interval's prefix of 2^k lines; longer
     runs are the union of such prefixes that overlap.  Where ``min_lines`` is
@@ -79,20 +82,20 @@ def removed_lines(levels: list[DataFrame], min_lines: int) -> DataFrame:
     """
     base = min_lines.bit_length() - 1
     if base >= len(levels):
-        return levels[0].where("false").select("d", "pos")
+        return levels[0].where("false").select("d", "i")
     if min_lines == 1 << base:
         reach = levels[base].where("later").select("d", "pos", F.lit(min_lines).alias("lines"))
     else:
         shift = min_lines - (1 << base)
         ahead = Window.partitionBy("d").orderBy("pos").rangeBetween(shift, shift)
-        pairs = levels[base].select("o", "d", "pos", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b IS NOT NULL")
+        pairs = levels[base].select("o", "d", "pos", "i", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b IS NOT NULL")
         reach = ranked(pairs).where("later").select("d", "pos", F.lit(min_lines).alias("lines"))
     for k, level in enumerate(levels[base + 1 :], base + 1):
         reach = reach.unionByName(level.where("later").select("d", "pos", F.lit(1 << k).alias("lines")))
     starts = reach.groupBy("d", "pos").agg(F.max("lines").alias("lines"))
     sofar = Window.partitionBy("d").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    covered = levels[0].select("d", "pos").join(starts, ["d", "pos"], "left")
-    return covered.withColumn("end", F.max(F.col("pos") + F.col("lines")).over(sofar)).where(F.col("end") > F.col("pos")).select("d", "pos")
+    covered = levels[0].select("d", "pos", "i").join(starts, ["d", "pos"], "left")
+    return covered.withColumn("end", F.max(F.col("pos") + F.col("lines")).over(sofar)).where(F.col("end") > F.col("pos")).select("d", "i")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
@@ -114,18 +117,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = cut(line_hashes(docs, id_col, text_col))
     hashes = hashes.withColumns({"o": F.coalesce("doc_id", F.lit(LAST)), "d": F.monotonically_increasing_id()})
     gone = removed_lines(suffix_ranks(hashes), min_lines)
-    by_doc = gone.groupBy("d").agg(F.collect_set("pos").alias("_gone"))  # a document's lines at most
+    by_doc = gone.groupBy("d").agg(F.collect_set("i").alias("_gone"))  # a document's lines at most
     keyed = by_doc.join(hashes.select("d", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "d").drop("d")
     text, rows = F.col(f"`{text_col}`"), docs.select(*(F.col(f"`{c}`") for c in names))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
     found = rows.join(keyed.hint("shuffle_hash"), same, "left")
-    lines = lines_of(text)
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~is_blank(F.get(lines, i)))
-    out = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("_gone", lambda p: F.get(places, p)))
-    kept = F.array_join(F.transform(out, lambda i: F.get(lines, i)), "\n")
+    # the split text is a column, as in a lambda it would be split again for each line
+    found = found.withColumn("_lines", lines_of(text))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return found.select(
         *(F.col(f"`{c}`") for c in names),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
         F.when(F.col("_gone").isNull(), text).otherwise(kept).alias("kept"),
     )
