@@ -93,7 +93,7 @@ class Pieces(dict):
         loose = sorted(inside - own)
         self.symbols = [self.texts[i] for i in plain] + loose
         self.piece = np.array(plain + [-1] * len(loose))
-        self.score = np.array([scores[i] for i in plain] + [min(scores[i] for i in plain) - PENALTY] * len(loose))
+        self.score = np.array([scores[i] for i in plain] + [min(scores[i] for i in plain) - PENALTY] * len(loose), np.float32)
         self.number = {s: k for k, s in enumerate(self.symbols)}
         self.longest = max(map(len, self.symbols))
         keys = self._hash_all(self.symbols)
@@ -222,14 +222,14 @@ class Pieces(dict):
         ending = np.full((most, words, length + 1), -1)  # by length less 1, word, end
         for n in range(1, most + 1):
             ending[n - 1, :, n:] = self._of_length(sums, n)
-        best = np.full((words, length + 1), -np.inf)
+        best = np.full((words, length + 1), -np.inf, np.float32)  # as the library adds them
         best[:, 0] = 0
         last, back = np.full((words, length + 1), -1), np.zeros((words, length + 1), np.int64)
         every = np.arange(words)
         for j in range(1, length + 1):
             n = min(most, j)
-            symbol = ending[:n, :, j].T  # word, length less 1
-            before = j - 1 - np.arange(n)
+            before = np.arange(j - n, j)  # the longest piece first, which wins ties
+            symbol = ending[n - 1 :: -1, :, j].T  # word, start
             open_ = (symbol >= 0) & (best[:, before] > -np.inf)
             if self.kind == BPE:
                 row, k = np.nonzero(open_)
@@ -237,11 +237,11 @@ class Pieces(dict):
                 good, inner = self.own[s], p >= 0
                 good[inner] &= self.neighbours(p[inner], s[inner])
                 open_[row[~good], k[~good]] = False
-                gain = np.where(open_, 0.0, -np.inf)
+                gain = np.where(open_, np.float32(0), -np.inf)
             else:
                 gain = np.where(open_, best[:, before] + self.score[symbol], -np.inf)
             chosen = gain.argmax(axis=1)
-            best[:, j], back[:, j], last[:, j] = gain[every, chosen], chosen + 1, np.where(np.isneginf(gain[every, chosen]), -1, symbol[every, chosen])
+            best[:, j], back[:, j], last[:, j] = gain[every, chosen], j - before[chosen], np.where(np.isneginf(gain[every, chosen]), -1, symbol[every, chosen])
         path, end, place = np.full((words, length), -1), np.full(words, length), length
         while (end > 0).any():
             place -= 1
