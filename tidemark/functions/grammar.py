@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 SEPARATOR = ". "
 NUMBER = r"^(?U:\s*)([+-]?[0-9]+)(?U:\s*)\z"
-STRICT = r"^([0-9]+)\. "
-SPLIT = r"(?s)^([0-9]+)\.[^ ]* (.*)\z"
 
 
 def _int(digits: Column) -> Column:
@@ -27,9 +25,28 @@ def _int(digits: Column) -> Column:
     return digits.try_cast("int")
 
 
+def _is_digits(text: Column) -> Column:
+    return (text != "") & (F.translate(text, "0123456789", "") == "")
+
+
+def _before(value: Column, at: Column) -> Column:
+    return F.substring(value, F.lit(1), at - 1)
+
+
+def _from(value: Column, at: Column) -> Column:
+    return F.substring(value, at, F.length(value))
+
+
+def _space_after(value: Column, at: Column) -> Column:
+    """Place of the first space behind ``at``, 0 for none."""
+    return F.call_function("locate", F.lit(" "), value, at + 1)
+
+
 def _lenient_number(value: Column) -> Column:
+    """Null for a line without a number; plain digits are told without a regular expression."""
     at = F.instr(value, SEPARATOR)
-    return F.when(at > 0, _int(F.regexp_extract(F.substring(value, F.lit(1), at - 1), NUMBER, 1)))
+    head = _before(value, at)
+    return F.when(at > 0, F.when(_is_digits(head), _int(head)).otherwise(_int(F.regexp_extract(head, NUMBER, 1))))
 
 
 def lenient_number(value: Column) -> Column:
@@ -38,25 +55,28 @@ def lenient_number(value: Column) -> Column:
 
 
 def lenient_key(value: Column) -> Column:
-    rest = F.substring(value, F.instr(value, SEPARATOR) + 2, F.length(value))
-    return F.when(_lenient_number(value).isNull(), value).otherwise(rest)
+    return F.when(_lenient_number(value).isNull(), value).otherwise(_from(value, F.instr(value, SEPARATOR) + 2))
 
 
 def strict_number(value: Column) -> Column:
     """Null for a line that the strict grammar rejects."""
-    return _int(F.regexp_extract(value, STRICT, 1))
+    at = F.instr(value, ".")
+    head = _before(value, at)
+    return F.when((F.substring(value, at + 1, F.lit(1)) == " ") & _is_digits(head), _int(head))
 
 
 def strict_key(value: Column) -> Column:
-    return F.when(strict_number(value).isNotNull(), F.substring(value, F.instr(value, ".") + 2, F.length(value)))
+    return F.when(strict_number(value).isNotNull(), _from(value, F.instr(value, ".") + 2))
 
 
 def split_number(value: Column) -> Column:
-    return _int(F.regexp_extract(value, SPLIT, 1))
+    at = F.instr(value, ".")
+    head = _before(value, at)
+    return F.when((_space_after(value, at) > 0) & _is_digits(head), _int(head))
 
 
 def split_key(value: Column) -> Column:
-    return F.when(split_number(value).isNotNull(), F.regexp_extract(value, SPLIT, 2))
+    return F.when(split_number(value).isNotNull(), _from(value, _space_after(value, F.instr(value, ".")) + 1))
 
 
 #: Per grammar: the number's and the key's expression.

@@ -21,8 +21,10 @@ def parse_lines(lines: DataFrame, grammar: str = "lenient", on_error: str = "dro
     if on_error == "raise" and grammar != "lenient":
         said = F.raise_error(F.concat(F.lit("Malformed line: "), F.coalesce("value", F.lit("null")))).cast("int")
         number = F.when(number.isNull(), said).otherwise(number)
-    parsed = lines.withColumns({"key": key, "number": number})
-    return parsed.where(F.col("number").isNotNull()) if on_error == "drop" else parsed
+    if on_error == "drop":
+        # what follows the filter need not look at rejected lines again
+        return lines.withColumn("number", number).where(F.col("number").isNotNull()).withColumn("key", key)
+    return lines.withColumns({"key": key, "number": number})
 
 
 def rejected_lines(lines: DataFrame, grammar: str = "strict") -> DataFrame:
