@@ -6,6 +6,8 @@ import gc
 import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,25 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def parts(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of a batch's rows and their texts (null: empty), about ``limit`` bytes at a time."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, j in slices(sizes, limit):
+        yield i, j, [t or b"" for t in texts.slice(i, j - i).to_pylist()]
+    pa.default_memory_pool().release_unused()  # else what one batch took stays with the worker
+
+
+def only(module) -> None:
+    """Called by a worker's step: other modules' tables are given back, as workers go on from query to query."""
+    for name, other in list(_TABLES.items()):
+        if other is not module:
+            other.forget()
+            del _TABLES[name]
+    if module is not None:
+        _TABLES[module.__name__] = module
+
+
+_TABLES: dict = {}

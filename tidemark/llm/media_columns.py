@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import slices, text_rows
+from .common import only, parts, text_rows
 
 STEP = 4 << 20  # payload bytes coded together
 
@@ -58,13 +58,13 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches):
+        only(None)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for i, j in slices([len(t) for t in texts], STEP):
-                files = jpeg.encode([padded(t) for t in texts[i:j]])
+            for i, j, texts in parts(batch, STEP):
+                files = jpeg.encode([padded(t) for t in texts])
                 pictures = jpeg.decode(files)
-                rows = [(d, *describe(len(t), f, p)) for d, t, f, p in zip(ids[i:j], texts[i:j], files, pictures, strict=True)]
+                rows = [(d, *describe(len(t), f, p)) for d, t, f, p in zip(ids[i:j], texts, files, pictures, strict=True)]
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), FIELDS.values(), strict=True)]
                 names = [*FIELDS]
                 if keep_media:

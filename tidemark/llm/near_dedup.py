@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_rows
+from .common import cut, only, parts, slices, text_rows
 from .components import components
 from .hashing import mix, window_hashes, word_hashes
 
@@ -58,15 +58,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n_shingles``, a 128-bit hash of the set and its bottom-64 sketch."""
 
     def run(batches):
+        only(None)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
             n, low, high, kept = [], [], [], []
             with np.errstate(over="ignore"):
-                for s in sets_of(texts):
+                for s in (x for _, _, texts in parts(batch, STEP) for x in sets_of(texts)):
                     n.append(len(s))
                     low.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                     high.append(int(mix(s + np.uint64(0x9E37)).sum(dtype=np.uint64).view(np.int64)))
-                    kept.append(s[:RETAINED].view(np.int64))
+                    kept.append(s[:RETAINED].view(np.int64).copy())
             offsets = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
             values = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "text_hash", "n_shingles", "low", "high", "sketch"])

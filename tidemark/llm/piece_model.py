@@ -346,3 +346,8 @@ def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @functools.cache
 def load(path: str) -> Pieces:
     return Pieces(path)
+
+
+def forget() -> None:
+    """Give back what the models hold, for a worker that goes on with something else."""
+    load.cache_clear()

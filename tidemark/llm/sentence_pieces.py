@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import piece_model
-from .common import rows_of, slices, text_rows
+from .common import only, parts, rows_of, text_rows
 
-STEP = 8 << 20  # bytes of text looked at together
+STEP = 4 << 20  # bytes of text looked at together
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,10 +25,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
+        only(piece_model)
         pieces = piece_model.load(model)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            ids = [np.frombuffer(x, "<u4").astype(np.int32) for i, j in slices([len(t) for t in texts], STEP) for x in pieces.encode(texts[i:j])]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for _, _, texts in parts(batch, STEP) for x in pieces.encode(texts)]
             offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
@@ -59,13 +59,13 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "decoded_sha256": pa.string(), "same": pa.bool_()}
 
     def run(batches):
+        only(piece_model)
         pieces = piece_model.load(model)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for i, j in slices([len(t) for t in texts], STEP):
+            for i, j, texts in parts(batch, STEP):
                 rows = []
-                for doc, text, packed in zip(ids[i:j], texts[i:j], pieces.encode(texts[i:j]), strict=True):
+                for doc, text, packed in zip(ids[i:j], texts, pieces.encode(texts), strict=True):
                     back = pieces.decode(np.frombuffer(packed, "<u4"))
                     rows.append((doc, len(text), len(packed) // 4, zlib.crc32(packed), hashlib.sha256(back).hexdigest(), back == text))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices, text_rows
+from .common import cut, only, parts, release, text_rows
 from .hashing import U, window_hashes, word_hashes
 
 WINDOW = 13
@@ -42,14 +42,14 @@ def pack_sheets(docs: DataFrame, id_col: str, text_col: str, sheet_bytes: int) -
     """Rows of documents, packed; ``sheet`` numbers them."""
 
     def run(batches):
+        only(None)
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
             hashes = batch.column("text_hash").to_numpy()
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            for i, j in slices([len(t) for t in texts], sheet_bytes):
-                sizes = np.array([len(t) for t in texts[i:j]], np.int64)
-                row = ids[i:j].tobytes(), hashes[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts[i:j]))
+            for i, j, texts in parts(batch, sheet_bytes):
+                sizes = np.array([len(t) for t in texts], np.int64)
+                row = ids[i:j].tobytes(), hashes[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "hashes", "sizes", "data"])
                 number += 1
 

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import slices, text_rows
+from .common import only, parts, text_rows
 
-STEP = 8 << 20  # bytes of text looked at together
+STEP = 1 << 20  # bytes of text looked at together
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -26,15 +26,16 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     schema = "doc_id long, n_bytes long, n_tokens long"
 
     def count(batches):
+        only(word_bpe)
         table = word_bpe.counts(tokenizer)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            n = []
-            for i, j in slices([len(t) for t in texts], STEP):
-                split = [t.split() for t in texts[i:j]]
+            sizes, n = [], []
+            for _, _, texts in parts(batch, STEP):
+                split = [t.split() for t in texts]
                 table.known(split)
+                sizes += map(len, texts)
                 n += [sum(map(table.__getitem__, s)) for s in split]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, slices, text_rows
+from .common import only, parts, rows_of, slices, text_rows
 from .hashing import LOWER, Running, U, mix, runs
 
 BITS = 20
@@ -217,10 +217,11 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     buckets, weights, bias = model.buckets, model.weights, model.bias
 
     def run(batches):
+        only(None)
         own = Model(buckets, weights, bias)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own.scores(texts), pa.float64())], ["doc_id", "score"])
+            scores = [own.scores(texts) for _, _, texts in parts(batch, STEP)] or [np.zeros(0)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(scores), pa.float64())], ["doc_id", "score"])
 
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     scored = rows.mapInArrow(run, "doc_id long, score double")
@@ -235,9 +236,11 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     buckets, weights, bias = model.buckets, model.weights, model.bias
 
     def run(batches):
+        only(None)
         own = Model(buckets, weights, bias)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array(own.scores(texts) < threshold))
+            scores = [own.scores(texts) for _, _, texts in parts(batch, STEP, text_col)] or [np.zeros(0)]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    as_bytes = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("binary"))
+    return as_bytes.mapInArrow(run, as_bytes.schema).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))

@@ -22,8 +22,8 @@ PLAIN = regex.compile(r"[\x21-\x7EÀ-įı-ſ]+")
 
 WORD_END = "</w>"
 JOINED = 2_000  # pre-tokens that the library gets in one text
-KNOWN = 400_000  # chunks that a worker keeps for good
-PASSING = 200_000  # and for a while
+KNOWN = 180_000  # chunks that a worker keeps for good
+PASSING = 60_000  # and for a while
 
 
 @functools.cache
@@ -53,16 +53,16 @@ def whole_tokens(path: str) -> dict[str, int]:
 
 
 class Chunks(dict):
-    """From a chunk's bytes to ``of(ids)``.
+    """From a chunk's bytes to ``of(ids)``; ``join`` makes a chunk's value from its pre-tokens'.
 
     The first ``KNOWN`` chunks stay, as frequent ones come early; up to
     ``PASSING`` more are held for a while and then dropped together.
     """
 
-    def __init__(self, path: str, whole: dict[str, int], of):
-        self.path, self.of, self.passing = path, of, []
-        self.whole = {w: (i,) for w, i in whole.items()}
-        self.merged: dict[str, tuple[int, ...]] = {}
+    def __init__(self, path: str, whole: dict[str, int], of, join):
+        self.path, self.of, self.join, self.passing = path, of, join, []
+        self.whole = {w: of((i,)) for w, i in whole.items()}
+        self.merged: dict = {}
 
     def known(self, texts: list[list[bytes]]) -> None:
         """Learn all chunks of the texts that are new."""
@@ -76,33 +76,32 @@ class Chunks(dict):
         self.learn(new)
 
     def learn(self, chunks: list[bytes]) -> None:
-        t, of, parts, rest = library(self.path), self.of, [], set()
+        t, of, join, parts, rest = library(self.path), self.of, self.join, [], set()
         whole, merged = self.whole, self.merged
         for chunk in chunks:
+            text = chunk.decode("utf-8", "replace").lower()
+            if text.isalpha() and PLAIN.fullmatch(text):
+                value = whole.get(text) or merged.get(text)
+                if value:
+                    self[chunk] = value
+                else:
+                    parts.append((chunk, (text,)))
+                    rest.add(text)
+                continue
             text = chunk.decode("utf-8", "replace")
-            if (PLAIN.fullmatch(text) is None) or "<|" in text:
+            if PLAIN.fullmatch(text) is None or "<|" in text:
                 self[chunk] = of(t.encode(text, add_special_tokens=False).ids)
                 continue
             text = text.lower()
-            if text.isalpha():
-                found = [text]
-            elif text[-1] in ",.;:" and text[:-1].isalpha():
-                found = [text[:-1], text[-1]]
-            else:
-                found = PRETOKEN.findall(text)
+            found = (text[:-1], text[-1]) if text[-1] in ",.;:" and text[:-1].isalpha() else PRETOKEN.findall(text)
             parts.append((chunk, found))
-            for p in found:
-                if p not in whole and p not in merged:
-                    rest.add(p)
-        ids = self.merge(list(rest))
+            rest.update([p for p in found if p not in whole and p not in merged])
+        got = self.merge(list(rest))
         for chunk, found in parts:
-            if len(found) == 1:
-                p = found[0]
-                self[chunk] = of(whole.get(p) or merged.get(p) or ids[p])
-            else:
-                self[chunk] = of([i for p in found for i in (whole.get(p) or merged.get(p) or ids[p])])
+            values = [whole.get(p) or merged.get(p) or got[p] for p in found]
+            self[chunk] = values[0] if len(values) == 1 else join(values)
 
-    def merge(self, pretokens: list[str]) -> dict[str, tuple[int, ...]]:
+    def merge(self, pretokens: list[str]) -> dict:
         """What the library makes of pre-tokens that are no whole tokens."""
         t, got = library(self.path), {}
         for k in range(0, len(pretokens), JOINED):
@@ -111,18 +110,28 @@ class Chunks(dict):
             split: list[list[int]] = [[] for _ in part]
             for word, i in zip(found.word_ids, found.ids, strict=True):
                 split[word].append(i)
-            got.update(zip(part, split, strict=True))
+            got.update(zip(part, map(self.of, split), strict=True))
         for p in pretokens[: max(0, KNOWN - len(self.merged))]:
             self.merged[p] = got[p]
         return got
 
 
+def pack(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @functools.cache
 def counts(path: str) -> Chunks:
-    return Chunks(path, whole_tokens(path), len)
+    return Chunks(path, whole_tokens(path), len, sum)
 
 
 @functools.cache
 def packed(path: str) -> Chunks:
     """Ids as little-endian unsigned 32-bit values."""
-    return Chunks(path, whole_tokens(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    return Chunks(path, whole_tokens(path), pack, b"".join)
+
+
+def forget() -> None:
+    """Give back what the tables hold, for a worker that goes on with something else."""
+    counts.cache_clear()
+    packed.cache_clear()
