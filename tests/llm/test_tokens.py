@@ -42,7 +42,7 @@ def test_word_bpe_ids_equal_the_library():
 def test_chunks_forget_without_harm(monkeypatch):
     monkeypatch.setattr(word_bpe, "KNOWN", 5)
     monkeypatch.setattr(word_bpe, "PASSING", 5)
-    table = word_bpe.Chunks(BPE, word_bpe.whole_tokens(BPE), len)
+    table = word_bpe.Chunks(BPE, word_bpe.whole_tokens(BPE), len, sum)
     lib, rng = Tokenizer.from_file(BPE), random.Random(1)
     for _ in range(30):
         text = prose(rng, 20)
@@ -144,31 +144,36 @@ def test_packing(spark, group):
     assert packing.best_fit_packing(empty(spark), BPE).count() == 0
 
 
-def slow_sum_of_squares(lengths, size):
-    gaps = []
+def slow_sum_of_squares(lengths, size, opened):
+    gaps = [size] * opened
     for s in lengths:
         def after(g):
-            left = [x for x in gaps if 0 < x < size]
-            if g == size:
-                left = left + [size - s]
-            else:
-                left.remove(g)
-                left.append(g - s)
-            return sum(left.count(x) ** 2 for x in set(left) if 0 < x < size)
-
-        options = sorted({g for g in gaps if s <= g < size}) + [size]
-        g = min(options, key=lambda g: (after(g), g))
-        if g == size:
+            left = list(gaps)
+            left.remove(g)
+            left.append(g - s)
+            return sum(left.count(x) ** 2 for x in set(left) if x > 0)
+
+        options = sorted({g for g in gaps if g >= s})
+        if not options:
             gaps.append(size - s)
-        else:
-            gaps[gaps.index(g)] = g - s
-    return len(gaps)
+            continue
+        g = min(options, key=lambda g: (after(g), g))
+        gaps[gaps.index(g)] = g - s
+    return sorted(size - g for g in gaps)
 
 
-def test_sum_of_squares_takes_the_least(spark):
+@pytest.mark.parametrize("opened", [0, 5, 40])
+def test_sum_of_squares_takes_the_least(opened):
     rng = random.Random(9)
-    for _ in range(40):
+    for _ in range(20):
         lengths = [rng.randrange(1, 21) for _ in range(60)]
-        bins, offsets, held = packing.sum_of_squares(np.array(lengths), 20)
-        assert len(held) == slow_sum_of_squares(lengths, 20)
-        assert held.sum() == sum(lengths) and held.max() <= 20
+        bins, offsets, held = packing.sum_of_squares(np.array(lengths), 20, opened)
+        assert sorted(held.tolist()) == slow_sum_of_squares(lengths, 20, opened)
+        assert np.bincount(bins, lengths, len(held)).tolist() == held.tolist()
+
+
+def test_packing_needs_few_more_than_the_sum():
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(np.exp(rng.normal(6, 1.2, 20_000)).astype(np.int64) + 1, 2048)
+    bins, _ = packing.pack_lengths(lengths, 2048)
+    assert len(set(bins.tolist())) <= 1.001 * -(-lengths.sum() // 2048)

@@ -11,36 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import cut, slices, text_rows
+from .common import cut, only, parts, text_rows
 
-STEP = 8 << 20  # bytes of text looked at together
-GROUP = 8_192  # pieces that one task packs, about
+STEP = 1 << 20  # bytes of text looked at together
+GROUP = 16_384  # pieces that one task packs, about
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, size: int, opened: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length in the order given, and each bin's fill.
 
-    N(g) is the number of open bins with g places left.  A length s goes where
-    the sum of all N(g) squared becomes smallest: into a bin with gap g, which
-    adds 2 (N(g - s) - N(g)) + 2, into one that it fills, which adds
-    1 - 2 N(s), or into a new bin, which adds 2 N(size - s) + 1.  Ties go to the
-    smallest gap, a new bin last.  Full bins do not count as open.
+    N(g) is the number of open bins with g places left; ``opened`` empty ones
+    are open from the start.  A length s goes where the sum of all N(g) squared
+    becomes smallest: into a bin with gap g, which adds
+    2 (N(g - s) - N(g)) + 2, or into one that it fills, which adds 1 - 2 N(s).
+    Ties go to the smallest gap.  Only if nothing fits one more bin is opened.
     """
     open_, bins_by_gap = np.zeros(size + 1, np.int64), [[] for _ in range(size + 1)]
+    open_[size], bins_by_gap[size] = opened, list(range(opened))[::-1]
     never = np.int64(1) << 40
-    held, bin_of, offset = [], np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    held, bin_of, offset = [0] * opened, np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, s in enumerate(lengths.tolist()):
-        if s >= size:
-            bin_of[k] = len(held)
-            held.append(s)
-            continue
-        gaps = open_[s:size]
-        cost = np.where(gaps > 0, open_[: size - s] - gaps, never)
-        # halves of the changes, less 1 for every placing into an unfilled bin
-        cost[0] = -gaps[0] if gaps[0] else never  # fills it: (1 - 2 N(s)) / 2 is less than any other by a half
-        g = int(cost.argmin()) + s
-        best = 2 * int(cost[g - s]) + (1 if g == s else 2)
-        if cost[g - s] >= never or 2 * int(open_[size - s]) + 1 < best:
+        gaps = open_[s:]
+        added = np.where(gaps > 0, 2 * (open_[: size - s + 1] - gaps) + 2, never)
+        if gaps[0]:
+            added[0] = 1 - 2 * gaps[0]
+        g = int(added.argmin()) + s
+        if added[g - s] >= never:
             b, g = len(held), size
             held.append(0)
         else:
@@ -55,15 +51,12 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The better of two orders, longest first and as given, by number of bins."""
-    best = None
-    for order in (np.argsort(-lengths, kind="stable"), np.arange(len(lengths))):
-        b, o, held = sum_of_squares(lengths[order], size)
-        if best is None or len(held) < best[0]:
-            bins, offsets = np.empty_like(b), np.empty_like(o)
-            bins[order], offsets[order] = b, o
-            best = len(held), bins, offsets
-    return best[1], best[2]
+    """Bin and offset of each length: the longest go first, into as many bins as their sum needs."""
+    order = np.argsort(-lengths, kind="stable")
+    b, o, _ = sum_of_squares(lengths[order], size, -(-int(lengths.sum()) // size))
+    bins, offsets = np.empty_like(b), np.empty_like(o)
+    bins[order], offsets[order] = b, o
+    return bins, offsets
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048) -> DataFrame:
@@ -71,13 +64,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def cut_up(batches):
+        only(word_bpe)
         table = word_bpe.packed(tokenizer)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, j in slices([len(t) for t in texts], STEP):
-                split = [t.split() for t in texts[i:j]]
+            for i, j, texts in parts(batch, STEP):
+                split = [t.split() for t in texts]
                 table.known(split)
                 for doc, words in zip(ids[i:j], split, strict=True):
                     data = b"".join(map(table.__getitem__, words)) + b"\0\0\0\0"
@@ -109,6 +102,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     n = max(1, math.ceil(cut_up.count() / group))
 
     def pack(table):
+        only(None)
         table = table.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece")])
         bins, offsets = pack_lengths(table["length"].to_numpy(), size)
         first = table["grp"][0].as_py() << 32
