@@ -273,6 +273,31 @@ def merge_passes(spark, sf_dir):
     return lines(spark, sf_dir, SIZES).select("id", sizing.merge_passes(n).alias("passes"), sizing.merge_passes(n, 2).alias("two_way_passes"))
 
 
+@query(f"SELECT id, greatest(1, least(1000, requested // 50)) AS batch FROM ({SIZES})")
+def batch_plan(spark, sf_dir):
+    return lines(spark, sf_dir, SIZES).select("id", sizing.batch_lines(F.lit(1000).cast("long"), F.col("requested")).alias("batch"))
+
+
+@query("SELECT i AS chunk, i * 104857600 AS \"offset\", least(104857600, 10737418340 - i * 104857600) AS size FROM range(103) r(i)")
+def generator_chunk_plan(spark, sf_dir):
+    return generate.chunk_plan(spark, 10_737_418_340, 100 << 20)
+
+
+@query(f"SELECT id, instr(value, '.') + 1 AS key_start, length(value) - instr(value, '.') - 1 AS key_length, substr(value, instr(value, '.') + 2) AS key FROM ({STRICT.format(MIXED)}) WHERE number IS NOT NULL")
+def key_slice(spark, sf_dir):
+    """Where the key of a line starts and how long it is, and the slice."""
+    start = F.instr("value", ".") + 1
+    sized = parsing.parse_lines(lines(spark, sf_dir, MIXED), "strict").select("id", "value", start.cast("long").alias("key_start"), (F.length("value") - start).cast("long").alias("key_length"))
+    return sized.select("id", "key_start", "key_length", F.expr("substr(value, key_start + 1, key_length)").alias("key"))
+
+
+@query(f"SELECT run_idx, min(struct_pack(key := key, number := number, id := id)).id AS id, count(*) AS n_lines FROM ({LENIENT.format(RUNS)}) GROUP BY run_idx")
+def run_heads(spark, sf_dir):
+    """The least line of each run."""
+    runs = parsing.parse_lines(ordering.assign_runs(lines(spark, sf_dir, ITEMS), "id", 4096))
+    return runs.groupBy("run_idx").agg(F.min(F.struct("key", "number", "id"))["id"].alias("id"), F.count(F.lit(1)).alias("n_lines"))
+
+
 WORD_SQL = "['" + "', '".join(generate.WORDS) + "']"
 
 
