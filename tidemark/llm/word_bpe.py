@@ -12,6 +12,7 @@ import functools
 import os
 import struct
 
+import numpy as np
 import regex
 
 #: The pre-token pattern of the tokenizer file, and the letters
@@ -71,7 +72,7 @@ class Chunks(dict):
             for chunk in self.passing:
                 del self[chunk]
             self.passing.clear()
-        new = list(chunks.difference(self.keys()))
+        new = [c for c in chunks if c not in self]
         self.passing += new[max(0, KNOWN - len(self)) :]
         self.learn(new)
 
@@ -116,8 +117,70 @@ class Chunks(dict):
         return got
 
 
-def pack(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+class ChunkIds(dict):
+    """From a chunk's bytes to its ids, packed as little-endian unsigned 32-bit values.
+
+    Pre-tokens are chunks themselves: a chunk in another case or with signs
+    around it takes the ids of what is known.  Unknown pre-tokens go to the
+    library joined by spaces, some thousand in one text.  Tables are bounded as
+    in ``Chunks``.
+    """
+
+    kept, passing_most = 400_000, 150_000
+
+    def __init__(self, path: str):
+        self.path, self.passing = path, []
+
+    def known(self, texts: list[list[bytes]]) -> None:
+        """Learn all chunks of the texts that are new."""
+        chunks = set().union(*texts)
+        if len(self.passing) > self.passing_most:
+            for chunk in self.passing:
+                del self[chunk]
+            self.passing.clear()
+        new = [c for c in chunks if c not in self]
+        for k in range(0, len(new), JOINED):
+            self.learn(new[k : k + JOINED])
+
+    def enter(self, chunk: bytes, ids: bytes) -> None:
+        if len(self) >= self.kept and chunk not in self:
+            self.passing.append(chunk)
+        self[chunk] = ids
+
+    def one(self, chunk: bytes) -> None:
+        ids = library(self.path).encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self.enter(chunk, struct.pack(f"<{len(ids)}I", *ids))
+
+    def learn(self, chunks: list[bytes]) -> None:
+        parts, unknown, lower = [], set(), b"\n".join(chunks).decode("utf-8", "replace")
+        for chunk, plain, text in zip(chunks, lower.split("\n"), lower.lower().split("\n"), strict=True):
+            if text.isalpha():
+                found = [text.encode()]
+            elif text[-1] in ",.;:" and text[:-1].isalpha():
+                found = [text[:-1].encode(), text[-1].encode()]
+            else:
+                found = [p.encode() for p in PRETOKEN.findall(text)]
+            if PLAIN.fullmatch(plain) is None or "<|" in plain:
+                self.one(chunk)
+                continue
+            parts.append((chunk, found))
+            for p in found:
+                if p not in self:
+                    unknown.add(p)
+        if unknown:
+            words = list(unknown)
+            found = library(self.path).encode(b" ".join(words).decode(), add_special_tokens=False)
+            number = np.array(found.word_ids)
+            if number[-1] + 1 == len(words):
+                data, cuts = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(number, np.arange(len(words) + 1))).tolist()
+                for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+                    self.enter(w, data[a:b])
+            else:
+                for w in words:
+                    self.one(w)
+        for chunk, found in parts:
+            if len(found) > 1 or found[0] != chunk:
+                self.enter(chunk, self[found[0]] if len(found) == 1 else b"".join([self[p] for p in found]))
 
 
 @functools.cache
@@ -126,9 +189,8 @@ def counts(path: str) -> Chunks:
 
 
 @functools.cache
-def packed(path: str) -> Chunks:
-    """Ids as little-endian unsigned 32-bit values."""
-    return Chunks(path, whole_tokens(path), pack, b"".join)
+def packed(path: str) -> ChunkIds:
+    return ChunkIds(path)
 
 
 def forget() -> None:
