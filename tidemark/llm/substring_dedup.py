@@ -29,7 +29,7 @@ WINDOW = 13
 SHEET = 1 << 20  # bytes of text in a sheet, about; a longer document is one by itself
 NULL_ID = np.iinfo(np.int64).max  # a null id is smaller than none
 
-SHEETS = "sheet long, ids binary, hashes binary, sizes binary, data binary"
+SHEETS = "sheet long, ids binary, sizes binary, data binary, carried binary"
 REPLY = "sheet long, step int, bucket int, bits binary"
 
 
@@ -38,25 +38,41 @@ def block_size(window: int) -> int:
     return (window + 1) // 2
 
 
-def pack_sheets(docs: DataFrame, id_col: str, text_col: str, sheet_bytes: int) -> DataFrame:
-    """Rows of documents, packed; ``sheet`` numbers them."""
+def pack_sheets(docs: DataFrame, id_col: str, text_col: str, sheet_bytes: int, carry: bool) -> DataFrame:
+    """Rows of documents, packed; ``sheet`` numbers them.
+
+    With ``carry`` all columns but the text go along, and whether it is null.
+    """
+    text = F.col(f"`{text_col}`")
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c != text_col)] if carry else []
 
     def run(batches):
         only(None)
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
-            hashes = batch.column("text_hash").to_numpy()
+            rest = batch.select(batch.schema.names[2:])
             for i, j, texts in parts(batch, sheet_bytes):
                 sizes = np.array([len(t) for t in texts], np.int64)
-                row = ids[i:j].tobytes(), hashes[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts))
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "hashes", "sizes", "data"])
+                row = ids[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts)), packer.compress(as_stream(rest.slice(i, j - i))) if carry else b""
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "sizes", "data", "carried"])
                 number += 1
 
-    rows = text_rows(docs, id_col, text_col).withColumns({"doc_id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64("text")})
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *([*others, text.isNull().alias("null")] if carry else []))
     return rows.mapInArrow(run, SHEETS)
 
 
+def as_stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
+
+
 class Sheet:
     """A sheet's texts, their words' hashes and the document of each word."""
 
@@ -272,8 +288,27 @@ def spans_of(mask: np.ndarray) -> list[dict]:
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def decided(docs: DataFrame, id_col: str, text_col: str, window: int, sheet_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame, int]:
+    """The sheets, all replies to them and the number of bits of a bucket."""
+    bits = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    sheets = cut(pack_sheets(docs, id_col, text_col, sheet_bytes, carry))
+    first = cut(probe(sheets, block_size(window), bits))
+    release(docs.sparkSession)
+    second = cut(verify(sheets, first, window, bits))
+    release(docs.sparkSession)
+    return sheets, first.unionByName(second), bits
+
+
+def kept_words(sheet: Sheet, mask: np.ndarray):
+    """Of each document: its mask, how many words go, and the others joined (None if all stay)."""
+    for text, first, n in zip(sheet.texts, sheet.first.tolist(), sheet.counts.tolist(), strict=True):
+        own = mask[first : first + n]
+        removed = int(own.sum())
+        yield own, removed, b" ".join([w for w, gone in zip(text.split(), own.tolist(), strict=True) if not gone]) if removed else None
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_text: bool = False, sheet_bytes: int = SHEET) -> DataFrame:
-    """``doc_id, text_hash, n_words, n_removed, kept_sha256, spans`` and, if asked, ``kept`` per row of ``docs``.
+    """``doc_id, n_words, n_removed, kept_sha256, spans`` and, if asked, ``kept`` per row of ``docs``.
 
     Words are what stands between spaces and 0x09 to 0x0D.  A word is removed
     if it is in a run of ``window`` words whose sequence also starts in a
@@ -287,37 +322,42 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows.  A sheet, and with it any single document, is looked at in one piece,
     in memory of about a hundred times its bytes.
     """
-    spark = docs.sparkSession
-    bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    sheets = cut(pack_sheets(docs, id_col, text_col, sheet_bytes))
-    first = cut(probe(sheets, block_size(window), bits))
-    release(spark)
-    second = cut(verify(sheets, first, window, bits))
-    release(spark)
+    sheets, replies, bits = decided(docs, id_col, text_col, window, sheet_bytes, carry=False)
 
     def finish(row, got):
         s = Sheet(row["ids"], row["sizes"], row["data"])
-        mask = covered(s, window, bits, got)
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for text, first_, n in zip(s.texts, s.first.tolist(), s.counts.tolist(), strict=True):
-            own, words = mask[first_ : first_ + n], text.split()
-            removed = int(own.sum())
-            kept = b" ".join([w for w, gone in zip(words, own.tolist(), strict=True) if not gone] if removed else words)
-            for column, v in zip(out, (n, removed, hashlib.sha256(kept).hexdigest(), spans_of(own) if removed else [], kept), strict=True):
+        out: tuple[list, ...] = ([], [], [], [])
+        for text, (own, removed, kept) in zip(s.texts, kept_words(s, covered(s, window, bits, got)), strict=True):
+            kept = b" ".join(text.split()) if kept is None else kept
+            for column, v in zip(out, (removed, hashlib.sha256(kept).hexdigest(), spans_of(own) if removed else [], kept), strict=True):
                 column.append(v)
-        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NULL_ID), "text_hash": pa.array(np.frombuffer(row["hashes"], np.int64)), "n_words": pa.array(out[0], pa.int64()), "n_removed": pa.array(out[1], pa.int64()), "kept_sha256": pa.array(out[2], pa.string()), "spans": pa.array(out[3], SPAN)}
-        return pa.table(columns | ({"kept": pa.array(out[4], pa.binary())} if with_text else {}))
+        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NULL_ID), "n_words": pa.array(s.counts, pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "spans": pa.array(out[2], SPAN)}
+        return pa.table(columns | ({"kept": pa.array(out[3], pa.binary())} if with_text else {}))
 
-    schema = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
-    done = with_replies(first.unionByName(second), sheets, finish, schema + (", kept binary" if with_text else ""))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
+    done = with_replies(replies, sheets, finish, schema + (", kept binary" if with_text else ""))
     return done.withColumn("kept", F.col("kept").cast("string")) if with_text else done
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with ``n_removed`` and ``kept``: what ``substring_dedup`` leaves of a text, the text itself if that is all of it."""
-    found = substring_dedup(docs, id_col, text_col, window, with_text=True).where("n_removed > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
-    text, names = F.col(f"`{text_col}`"), [c for c in docs.columns if c not in ("n_removed", "kept")]
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text.cast("binary")) == F.col("_hash"))
-    both = docs.join(found, same, "left")
-    return both.select(*(F.col(f"`{c}`") for c in names), F.coalesce("_removed", F.lit(0)).alias("n_removed"), F.coalesce("_kept", text).alias("kept"))
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sheet_bytes: int = SHEET) -> DataFrame:
+    """``docs`` with ``n_removed`` and ``kept``: what ``substring_dedup`` leaves of a text, the text itself if that is all of it.
+
+    The other columns travel with the texts, so that nothing is joined back.
+    """
+    docs = docs.drop("n_removed", "kept")
+    sheets, replies, bits = decided(docs, id_col, text_col, window, sheet_bytes, carry=True)
+    others = [f for f in docs.schema if f.name != text_col]
+
+    def finish(row, got):
+        s = Sheet(row["ids"], row["sizes"], row["data"])
+        found = list(kept_words(s, covered(s, window, bits, got)))
+        table = from_stream(row["carried"])
+        table = table.append_column("removed", pa.array([n for _, n, _ in found], pa.int64()))
+        table = table.append_column("text", pa.array(s.texts, pa.binary()))
+        return table.append_column("left", pa.array([k for _, _, k in found], pa.binary()))
+
+    schema = ", ".join([*(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(others)), "null boolean, removed long, text binary, left binary"])
+    done = with_replies(replies, sheets, finish, schema)
+    text = F.when(~F.col("null"), F.col("text").cast("string"))
+    column = {f.name: F.col(f"c{k}") for k, f in enumerate(others)} | {text_col: text}
+    return done.select(*(column[c].alias(c) for c in docs.columns), F.col("removed").alias("n_removed"), F.coalesce(F.col("left").cast("string"), text).alias("kept"))
