@@ -126,7 +126,7 @@ class ChunkIds(dict):
     in ``Chunks``.
     """
 
-    kept, passing_most = 400_000, 150_000
+    kept, passing_most = 500_000, 300_000
 
     def __init__(self, path: str):
         self.path, self.passing = path, []
