@@ -164,6 +164,13 @@ def test_estimate_is_exact_for_small_sets():
     assert near_dedup.estimated(a, [b, c]) == [True, False]
 
 
+def test_low_estimates_are_left_to_the_full_sets():
+    """28 of the 64 smallest: at similarity 0.75 so few or fewer have a chance of 1e-7."""
+    common = list(range(28))
+    a, b = common + list(range(100, 172, 2)), common + list(range(101, 173, 2))
+    assert near_dedup.estimated(a, [b]) == [True]
+
+
 def test_drop_near_keeps_one_of_each(spark):
     rows = corpus(5)
     want = plain_components(rows)

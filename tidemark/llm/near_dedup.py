@@ -25,11 +25,11 @@ RETAINED = 64
 INDEXED = 32
 LISTED = 12
 #: Two sets of similarity 0.75 share so many of their 32 smallest hashes, but
-#: for a chance of about 1e-7; a set of fewer hashes must share this part of
+#: for a chance of 2.4e-7; a set of fewer hashes must share this part of
 #: them.  That they share none of their 12 smallest has a chance of 6e-8.
 SHARED = 11
-#: Estimates from 64 hashes of such sets are below this with a chance of about 1e-6.
-ESTIMATE = 0.5
+#: Estimates from 64 hashes of such sets are below this with a chance of 1.3e-9.
+ESTIMATE = 0.4
 WORDS = 5
 GROUP = 256  # partners of a document that one task compares
 CROWD = 32  # the longest list whose pairs are listed
