@@ -118,6 +118,19 @@ def test_thumbnail_is_the_mean_of_blocks():
     assert jpeg.thumbnail(picture).tolist() == [[round(200 * 4 / 8) + 128]]
 
 
+def test_average_hash_sees_every_pixel():
+    rng = np.random.default_rng(4)
+    for h, w in ((1, 1), (3, 5), (8, 8), (13, 70), (64, 80)):
+        pixels = rng.integers(0, 256, (h, w)).astype(np.uint8)
+        cut = lambda n: [(i * n // 8, max((i + 1) * n // 8, i * n // 8 + 1)) for i in range(8)]
+        means = np.array([[pixels[a:b, c:d].mean() for c, d in cut(w)] for a, b in cut(h)])
+        assert jpeg.average_hash(pixels) == np.packbits(means > means.mean()).tobytes().hex()
+    dark = np.zeros((64, 64), np.uint8)
+    lit = dark.copy()
+    lit[1:8, 1:8] = 200  # no pixel at the start of an area
+    assert jpeg.average_hash(dark) != jpeg.average_hash(lit)
+
+
 def test_broken_files():
     good = jpeg.encode([b" " * 192])[0]
     for bad in (b"GIF89a", good[:60], good.replace(b"\xff\xc0", b"\xff\xc2")):

@@ -281,10 +281,16 @@ def thumbnail(picture: Picture) -> np.ndarray:
 
 
 def average_hash(pixels: np.ndarray) -> str:
-    """64 bits in hex: which of 8 by 8 sampled pixels are brighter than their mean."""
+    """64 bits in hex: which of 8 by 8 areas, each the mean of all its pixels, are brighter than the areas' mean."""
     h, w = pixels.shape
-    sampled = pixels[np.ix_(np.arange(8) * h // 8, np.arange(8) * w // 8)]
-    return np.packbits(sampled > sampled.mean()).tobytes().hex()
+    top, left = np.arange(8) * h // 8, np.arange(8) * w // 8
+    # below 8 rows or columns an area is the one pixel at its start
+    bottom, right = np.maximum(np.arange(1, 9) * h // 8, top + 1), np.maximum(np.arange(1, 9) * w // 8, left + 1)
+    sums = np.zeros((h + 1, w + 1), np.int64)
+    sums[1:, 1:] = pixels.cumsum(axis=0, dtype=np.int64).cumsum(axis=1)
+    total = sums[np.ix_(bottom, right)] - sums[np.ix_(top, right)] - sums[np.ix_(bottom, left)] + sums[np.ix_(top, left)]
+    areas = total / np.outer(bottom - top, right - left)
+    return np.packbits(areas > areas.mean()).tobytes().hex()
 
 
 def payload(picture: Picture) -> bytes:
