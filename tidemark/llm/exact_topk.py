@@ -7,38 +7,39 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of
-from .cover_tree import Search
+from .common import cut, only, rows_of
+from .cover_tree import ERROR, NEVER, TOO_SMALL, Data, Search
 
 SCALE = 256.0
-LARGEST = float(1 << 26)  # of a scaled component; keeps every score in 64 bits
+LARGEST = 2.0**400  # of a scaled component: squares of larger ones are beyond floats
 SAMPLE = 2_048  # vectors from which the pivots are taken
 PIVOTS = 32
-BLOCK = 8_192  # vectors in a block of data, about
-ASKED = 8_192  # and of queries
+BLOCK = 16_384  # vectors in a block of data, about
+ASKED = 8_192  # queries that a task searches together, at most
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "row long, query_id long, vec_id long, score long"
+INFINITY = float("inf")
 
 
-def quantise(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, dim, v``: whole components; without rows that take no part."""
-    x = F.col(f"`{vector_col}`")
-    scaled = F.transform(x, lambda c: c.cast("double") * SCALE)
-    rows = rows_of(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=scaled)
-    valid = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & (F.abs(c) <= LARGEST))  # NaN is larger than any number
-    return rows.where(valid).select("vec_id", F.size("v").alias("dim"), F.transform("v", lambda c: F.floor(c).cast("int")).alias("v"))
+def valid_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id, dim, v`` as they are; without rows that take no part."""
+    rows = rows_of(vectors, vec_id=F.col(f"`{id_col}`").cast("long"), v=vector_col)
+    finite = F.forall("v", lambda c: c.isNotNull() & (F.abs(c) < INFINITY))  # NaN is larger than any number
+    return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite).select("vec_id", F.size("v").alias("dim"), "v")
 
 
-def matrix(column) -> np.ndarray:
-    """Vectors of one length, a row each."""
+def matrix(column, dim: int) -> np.ndarray:
+    """Vectors of one length, a row each, quantised: whole numbers as floats."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    whole = np.floor(flat * SCALE).reshape(len(column), dim)
+    if np.abs(whole).max(initial=0) > LARGEST:
+        raise OverflowError("a component is too large for any score to fit into 64 bits")
+    return whole
 
 
 def pick(sample: np.ndarray, most: int) -> np.ndarray:
@@ -54,11 +55,12 @@ def place(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Add ``cell``, the nearest pivot, and ``away``, the distance from it."""
 
     def run(batches):
+        only(None)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x, p = matrix(part.column("v")).astype(np.float64), pivots.get(dim)
+                x, p = matrix(part.column("v"), dim), pivots.get(dim)
                 if p is None:  # a length that the sample missed: one cell around the origin
                     p = np.zeros((1, dim))
                 cell, away = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
@@ -68,37 +70,73 @@ def place(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                     cell[nearer], away[nearer] = k, d[nearer]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(away)], [*part.schema.names, "cell", "away"])
 
-    return rows.mapInArrow(run, "vec_id long, dim int, v array<int>, cell int, away double")
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, dim int, v {kind}, cell int, away double")
 
 
 def blocks_of(rows: DataFrame, size: int) -> tuple[DataFrame, dict]:
-    """Add ``salt`` so that (dim, cell, salt) holds about ``size`` rows; per (dim, cell): radius and salts."""
+    """Add ``part`` so that (dim, cell, part) holds about ``size`` rows; per (dim, cell): radius and parts."""
     cells = {(r.dim, r.cell): (r.radius, math.ceil(r.n / size)) for r in rows.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}
-    split = {k: n for k, (_, n) in cells.items() if n > 1}
-    salts = F.lit(1)
-    for (dim, cell), n in split.items():  # a cell for each pivot at most
-        salts = F.when((F.col("dim") == dim) & (F.col("cell") == cell), n).otherwise(salts)
-    return rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts).cast("int")), cells
+    parts = F.lit(1)
+    for (dim, cell), (_, n) in cells.items():  # a cell for each pivot at most
+        if n > 1:
+            parts = F.when((F.col("dim") == dim) & (F.col("cell") == cell), n).otherwise(parts)
+    return rows.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")), cells
 
 
-def search(rows: DataFrame, k: int) -> DataFrame:
-    """Search each (block, asked): its rows with a ``floor`` are queries, the others data."""
+def search(rows: DataFrame, k: int, tasks: int, asked: int) -> DataFrame:
+    """Search each block (dim, at, part): its rows with a ``floor`` are queries, the others data.
 
-    def run(table):
-        asking = pa.compute.is_valid(table["floor"])
-        left, right = table.filter(asking), table.filter(pa.compute.invert(asking))
-        query = found = score = np.zeros(0, np.int64)
-        if len(left) and len(right):
-            s = Search(matrix(left["v"]), left["vec_id"].to_numpy(), k, left["floor"].to_numpy())
-            s.look(matrix(right["v"]), right["vec_id"].to_numpy())
-            query, _, found, score = s.rows()
-        return pa.table({"query_id": pa.array(query), "vec_id": pa.array(found), "score": pa.array(score)})
+    A block's data come first in its partition.  Its tree is built once and the
+    queries stream past it, ``asked`` at a time, so that a task holds one block
+    whatever the number of queries.
+    """
+    key = ["dim", "at", "part"]
+
+    def run(batches):
+        only(None)
+        block, gathered, waiting, data, held = None, [], [], None, 0
+
+        def answers():
+            nonlocal waiting, held
+            if waiting and data is not None:
+                table = pa.Table.from_batches(waiting)
+                s = Search(matrix(table["v"], block[0]), table["vec_id"].to_numpy(), table["row"].to_numpy(), k, table["floor"].to_numpy())
+                s.look(data)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in s.rows()], ["row", "query_id", "vec_id", "score"])
+            waiting, held = [], 0
 
-    return rows.groupBy("block", "asked").applyInArrow(run, FOUND)
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in (*key, "asks")], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                *at, asks = names[a].tolist()
+                if at != block:
+                    yield from answers()
+                    block, gathered, data = at, [], None
+                piece = batch.slice(a, b - a)
+                if not asks:
+                    gathered.append(piece)
+                    continue
+                if gathered:
+                    table = pa.Table.from_batches(gathered)
+                    data, gathered = Data(matrix(table["v"], block[0]), table["vec_id"].to_numpy(), table["row"].to_numpy()), []
+                for i in range(0, len(piece), asked):
+                    part = piece.slice(i, asked)
+                    if held + len(part) > asked:
+                        yield from answers()
+                    waiting.append(part)
+                    held += len(part)
+        yield from answers()
+
+    dealt = rows.repartition(tasks, *key).sortWithinPartitions(*key, "asks")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -106,80 +144,65 @@ def exact_topk(vectors: DataFrame, is_query: Callable[[Column], Column], k: int
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows but its own.
 
     Components become floor(256 x); the score is the integer inner product and
-    ties go to the smaller id.  Both sides fall into cells around pivots (the
-    top of a cover tree, from a bounded sample) and these into blocks of bounded
-    size.  Each query first searches one block of its own cell; the kth scores
-    found there and the cells' radii rule out cells for good.  Every pair of a
-    query block and a data block that is left is one task's dual-tree search.
-
-    Rows with a null id, a null vector, or a component that is null, not finite
-    or beyond 2^18 take no part.  Vectors of another length are not compared.
-    Rows that share an id are one query (the least vector) but each a
-    candidate.  Extra columns are ignored; an empty table gives no rows.
+    ties go to the smaller id.  Rows fall into cells around pivots (the top of a
+    cover tree, from a bounded sample) and these into blocks of bounded size.
+    Each query first searches one block of its own cell; the kth scores found
+    there and the cells' radii rule out cells for good.  Every data block that
+    is left is one task's dual-tree search, past which its queries stream.
+
+    Rows with a null id, a null vector, or a component that is null or not
+    finite take no part; all others do, however large.  The job fails with an
+    ``OverflowError`` if a score that belongs to the result does not fit into
+    64 bits.  Vectors of another length are not compared.  Each row is a query
+    of its own and a candidate for every other row, also where rows share an
+    id.  Extra columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = quantise(vectors, id_col, vector_col)
+    rows = valid_rows(vectors, id_col, vector_col)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("dim", "v").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
         by_dim.setdefault(r.dim, []).append(r.v)
-    centres = {dim: pick(np.array(v, np.float64).reshape(len(v), dim), pivots) for dim, v in by_dim.items()}
-    placed = cut(place(rows, centres))
-    data, data_cells = blocks_of(placed, block)
-    asking = placed.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min_by(F.struct("dim", "v", "cell", "away"), F.struct("dim", "v")).alias("x")).select("vec_id", "x.*")
-    queries, query_cells = blocks_of(asking, asked)
-    if not query_cells:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-
-    # Query cells of a dimension go together as long as they hold few queries.
-    together = min(1 << 20, max(1, asked))
-    total: dict[int, int] = {}
-    team: dict[tuple[int, int], int] = {}
-    held = {(r.dim, r.cell): r.n for r in asking.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    number = 0
-    for key in sorted(held):
-        dim = key[0]
-        if dim not in total or total[dim] + held[key] > together:
-            number += 1
-            total[dim] = 0
-        total[dim] += held[key]
-        team[key] = number
+    centres = {dim: pick(np.floor(np.array(v, np.float64).reshape(len(v), dim) * SCALE), pivots) for dim, v in by_dim.items()}
+    placed = cut(place(rows, centres).withColumn("row", F.monotonically_increasing_id()))
+    data, cells = blocks_of(placed, block)
+    queries = placed.where(is_query(F.col("vec_id")))
+    asking = {(r.dim, r.cell): r.radius for r in queries.groupBy("dim", "cell").agg(F.max("away").alias("radius")).collect()}
+    most_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(wanted: dict[tuple[int, int], list[int]], queries: DataFrame, one: bool) -> DataFrame:
-        """Send queries and data to the pairs of blocks that are wanted, or to one block of each cell.
+        """Search the blocks of the cells wanted for each cell of queries, or one block of each.
 
         What is broadcast are pairs of cells, at most the square of the pivots.
         """
-        salts = {key: 1 if one else n for key, (_, n) in data_cells.items()}
-        asks = [(dim, qc, team[dim, qc], dc, salts[dim, dc]) for (dim, qc), cells in wanted.items() for dc in cells]
-        most: dict[tuple[int, int, int], int] = {}  # query salts of a team
-        for dim, qc, t, dc, _ in asks:
-            most[dim, dc, t] = max(most.get((dim, dc, t), 0), query_cells[dim, qc][1])
-        gives = [(dim, dc, t, n, salts[dim, dc]) for (dim, dc, t), n in most.items()]
-        block_id, asked_id = F.concat_ws(":", "dim", "at", "part"), F.concat_ws(":", "team", "salt")
-        sent = queries.join(F.broadcast(spark.createDataFrame(asks, "dim int, cell int, team int, at int, parts int")), ["dim", "cell"])
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        given = data.withColumnsRenamed({"salt": "part", "cell": "at"}).join(F.broadcast(spark.createDataFrame(gives, "dim int, at int, team int, asked_salts int, parts int")), ["dim", "at"])
-        given = given.where("part < parts").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("asked_salts") - 1)))
-        columns = [block_id.alias("block"), asked_id.alias("asked"), "vec_id", "v"]
-        return search(sent.select(*columns, "floor").unionByName(given.select(*columns, F.lit(None).cast("long").alias("floor"))), k)
+        parts = {key: 1 if one else n for key, (_, n) in cells.items()}
+        asks = [(dim, qc, dc, parts[dim, dc]) for (dim, qc), found in wanted.items() for dc in found]
+        gives = sorted({(dim, dc, n) for dim, _, dc, n in asks})
+        columns = ["dim", "at", "part", "row", "vec_id", "v"]
+        sent = queries.join(F.broadcast(spark.createDataFrame(asks, "dim int, cell int, at int, parts int")), ["dim", "cell"])
+        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns, "floor", F.lit(1).alias("asks"))
+        given = data.withColumnRenamed("cell", "at").join(F.broadcast(spark.createDataFrame(gives, "dim int, at int, parts int")), ["dim", "at"])
+        given = given.where("part < parts").select(*columns, F.lit(None).cast("long").alias("floor"), F.lit(0).alias("asks"))
+        return search(given.unionByName(sent), k, min(most_tasks, sum(n for _, _, n in gives)) or 1, asked)
 
     def at(dim: int, cell: int) -> np.ndarray:
         return centres[dim][cell] if dim in centres else np.zeros(dim)
 
-    lowest = int(np.iinfo(np.int64).min)
-    first = {(dim, qc): [qc] for dim, qc in query_cells}
-    seeds = cut(best(run(first, queries.withColumn("floor", F.lit(lowest)), one=True), k))
-    kth = seeds.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
-    queries = queries.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(lowest))).drop("kth")
+    seeds = cut(best(run({(dim, qc): [qc] for dim, qc in asking}, queries.withColumn("floor", F.lit(int(NEVER))), one=True), k))
+    kth = seeds.where(F.col("rank") == k).select("row", F.col("score").alias("kth"))
+    queries = queries.join(kth, "row", "left").withColumn("floor", F.coalesce("kth", F.lit(int(NEVER)))).drop("kth")
     floors = {(r.dim, r.cell): r.least for r in queries.groupBy("dim", "cell").agg(F.min("floor").alias("least")).collect()}
     wanted: dict[tuple[int, int], list[int]] = {}
-    for (dim, qc), (q_radius, _) in query_cells.items():
-        q, cells = at(dim, qc), [c for d, c in data_cells if d == dim]
-        for dc in cells:
-            d, d_radius = at(dim, dc), data_cells[dim, dc][0]
-            most = q @ d + q_radius * math.sqrt(d @ d) + d_radius * math.sqrt(q @ q) + q_radius * d_radius
-            if most * (1 + 1e-9) + 1 >= floors[dim, qc]:
-                wanted.setdefault((dim, qc), []).append(dc)
+    for (dim, qc), q_radius in asking.items():
+        q = at(dim, qc)
+        for other, dc in cells:
+            if other == dim:
+                d, d_radius = at(dim, dc), cells[dim, dc][0]
+                q_norm, d_norm = math.sqrt(q @ q), math.sqrt(d @ d)
+                slack = 1 + ERROR * (q_norm + q_radius) * (d_norm + d_radius)
+                most = q @ d + q_radius * d_norm + d_radius * q_norm + q_radius * d_radius + slack
+                if floors[dim, qc] == NEVER or most >= floors[dim, qc]:
+                    wanted.setdefault((dim, qc), []).append(dc)
     found = best(run(wanted, queries, one=False), k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    held = F.when(F.col("score") == int(TOO_SMALL), F.raise_error(F.lit("a score does not fit into 64 bits")).cast("long")).otherwise(F.col("score"))
+    return found.select("query_id", "rank", "vec_id", held.alias("score"))
