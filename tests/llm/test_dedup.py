@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import ODD, empty, frame, prose
 from tidemark.llm import line_dedup, near_dedup, substring_dedup
@@ -144,10 +145,11 @@ def test_near_dedup(spark, seed):
     check_near(near_dedup.near_dedup(frame(spark, rows)).collect(), rows)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 20_000])
-def test_near_dedup_of_a_crowd(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "crowd"), [(8 << 20, 32), (20_000, 2), (8 << 20, 1_000)])
+def test_near_dedup_of_a_crowd(spark, monkeypatch, block, crowd):
     """Hundreds of copies of one text, each changed in some words; in one block and in several."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = random.Random(7)
     base = prose(rng, 120).split()
     rows = []
@@ -159,6 +161,46 @@ def test_near_dedup_of_a_crowd(spark, monkeypatch, block):
     check_near(near_dedup.near_dedup(frame(spark, rows)).collect(), rows)
 
 
+def border_pairs(rng, n, own):
+    """Pairs of texts whose sets have a similarity of exactly 0.75, or just less where ``own`` is one too many."""
+    rows = []
+    for k in range(n):
+        common = prose(rng, 6 * 40 + 4)
+        for half in (0, 1):
+            rows.append((2 * k + half, common + " " + " ".join(f"w{k}x{half}x{j}" for j in range(40 + own))))
+    return rows
+
+
+def test_every_pair_at_the_border_is_found(spark):
+    """Recall on 1,500 pairs of similarity 0.75: all, as is to be expected with a chance of 1e-12 to miss one; and none below."""
+    rows = border_pairs(random.Random(3), 1_500, 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(df).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    below = border_pairs(random.Random(4), 200, 1)
+    df = spark.createDataFrame(below, "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.near_dedup(df).collect())
+
+
+def test_a_phrase_that_all_share_links_nothing(spark):
+    """The rarest values are listed, so that the shared ones need no list at all."""
+    rng = random.Random(9)
+    phrase = prose(rng, 40)
+    rows = [(i, prose(rng, 250) + " " + phrase) for i in range(150)] + [(i, "") for i in range(200, 260)] + [(i, "same words in all of these rows") for i in range(300, 360)]
+    check_near(near_dedup.near_dedup(frame(spark, rows)).collect(), rows)
+    classes = near_dedup.sketches(spark.createDataFrame(rows[:150], "doc_id long, text string"), "doc_id", "text")
+    lists, heads = near_dedup.index(classes.withColumnRenamed("doc_id", "node").cache())
+    assert lists.count() < 150 < classes.count() * 48 and (heads.agg({"often": "max"}).first()[0] or 0) < 100
+
+
+def test_drop_near_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 7, 8), (2, "a b c d e f", 7, 8), (3, "", 7, 8), (4, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, hash int").withColumnsRenamed({"id": "_id", "hash": "_HASH"})
+    got = near_dedup.drop_near(docs.withColumn("id", F.lit(1)))
+    assert got.columns == [*docs.columns, "id"]
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
 def test_estimate_is_exact_for_small_sets():
     a, b, c = list(range(1, 9)), list(range(1, 8)) + [50], list(range(5, 13))
     assert near_dedup.estimated(a, [b, c]) == [True, False]
@@ -183,8 +225,9 @@ def test_drop_near_keeps_one_of_each(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(2, 60)] + [(500, 400), (400, 300)]
+    edges += [(10_000, 10_000 + k) for k in range(1, 3_000)]  # a hub with most of the edges
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    want = {n: 100 for n in range(100, 161)} | {n: 1 for n in range(1, 60)} | {500: 300, 400: 300, 300: 300}
+    want = {n: 10_000 for n in range(10_000, 13_000)} | {n: 100 for n in range(100, 161)} | {n: 1 for n in range(1, 60)} | {500: 300, 400: 300, 300: 300}
     assert got == want
 
 

@@ -17,14 +17,46 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only where none is set and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not path and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than this part of all rows is not shuffled but broadcast;
+#: there are fewer such keys than that.
+HOT = 1_024
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``, which has a row for each key and, as ``size``, the number of rows with it.
+
+    ``size`` is dropped.  Keys that hold more than a ``HOT``-th of all these rows
+    are broadcast, so that their rows stay where they are; the others' share of
+    a task is bounded.  Both frames are read twice and should be cut before.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot, rest = groups.where(F.col(size) * HOT > total).drop(size), groups.where(F.col(size) * HOT <= total).drop(size)
+    there = rows.join(F.broadcast(hot), keys)  # fewer than HOT rows
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return there.unionByName(others)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)

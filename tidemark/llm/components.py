@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_sized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round each node takes the least label among its neighbours', then
     the label of that label, so that chains shorten by more than half.  Labels
-    are aggregated before they are shuffled, so a node with very many edges is
-    no hot spot.  Each round is checkpointed; nothing comes to the driver but
-    the number of labels that changed.
+    are aggregated before they are shuffled, and the labels of hubs and of
+    large components go out by broadcast, so that neither a node with very many
+    edges nor a component with very many nodes is a hot spot.  Each round is
+    checkpointed; nothing comes to the driver but numbers of rows.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"), F.count(F.lit(1)).alias("degree")))
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
+        heard = join_sized(both, labels.withColumnRenamed("node", "b"), ["b"], "degree").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        lower = labels.join(heard, "node").select("node", "degree", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
         lower = cut(lower)
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = cut(lower.join(jump, "component", "left").select("node", "before", F.coalesce("next", "component").alias("component")))
-        labels = after.select("node", "component")
+        sizes = lower.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        jump = cut(lower.select(F.col("node").alias("component"), F.col("component").alias("next")).join(sizes, "component"))
+        after = cut(join_sized(lower, jump, ["component"], "size").select("node", "degree", "before", F.col("next").alias("component")))
+        labels = after.select("node", "component", "degree")
         if not after.where("before <> component").limit(1).count():
-            return labels
+            return labels.select("node", "component")
