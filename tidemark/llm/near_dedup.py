@@ -6,7 +6,7 @@ retained values generate candidates, the union of two sketches estimates their
 Jaccard similarity, and the full sets decide.
 
 All lists are treated alike.  First every node of a list is held against the
-list's least node; most copies are joined by that.  Then, in lists whose nodes
+node that shares the most values with others; most copies are joined by that.  Then, in lists whose nodes
 are not all joined yet, every node is held against every one that it is not
 joined with: pair by pair where the list is short, block against block within
 tasks where it is long.
@@ -35,6 +35,7 @@ ESTIMATE = 21 / 64
 WORDS = 5
 GROUP = 256  # partners of a document that one task compares, at most
 CROWD = 32  # the longest list whose pairs are written out
+PART = 512  # nodes of a longer list that meet another such part in one task
 BLOCK = 8 << 20  # bytes of text that one task holds of others or of a longer list, twice
 WORD = 8  # bytes of text for each shingle, about
 
@@ -79,13 +80,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``value, node, n``: inverted lists of more than one node in which any two linked nodes meet.
+    """``value, node, n, shared``: inverted lists in which any two linked nodes meet.
 
     Two linked classes share ``SHARED`` of their ``INDEXED`` smallest values (a
     like part of a smaller sketch), so one of these is among the rarest
     ``INDEXED - SHARED + 1`` of either.  Only those are listed: values that no
-    other class has come first and need no list, very frequent ones come last.  Also, per list,
-    ``value, often, head, words``: its length, least node and words.
+    other class has come first and need no list, very frequent ones come last.  ``shared``
+    is how many of a node's indexed values others have.  Also, per list of more
+    than one node, ``value, often, head, words``: its length, words and the node
+    that shares the most, which in a group of copies is the one they come from.
     """
     size = F.least(F.size("sketch"), F.lit(INDEXED))
     listed = classes.select("node", F.col("n_shingles").alias("n"), size.alias("size"), F.explode(F.slice("sketch", 1, INDEXED)).alias("value"))
@@ -95,8 +98,8 @@ def index(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_class = join_sized(listed, known, ["value"], "often").groupBy("node", "n", "size").agg(found)
     must = F.greatest(F.lit(1), F.floor(F.col("size") * (SHARED / INDEXED)).cast("int"))
     quota = F.size("found") - must + 1  # the rarest size - must + 1 without those of no other class
-    lists = cut(by_class.withColumn("quota", quota).where("quota > 0").select(F.explode(F.slice("found", 1, F.col("quota"))).alias("x"), "node", "n").select("x.value", "node", "n"))
-    heads = lists.groupBy("value").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("node", "n")).alias("head"), F.sum("n").alias("words")).where("often > 1")
+    lists = cut(by_class.withColumn("quota", quota).where("quota > 0").select(F.explode(F.slice("found", 1, F.col("quota"))).alias("x"), "node", "n", F.size("found").alias("shared")).select("x.value", "node", "n", "shared"))
+    heads = lists.groupBy("value").agg(F.count(F.lit(1)).alias("often"), F.max(F.struct("shared", F.negative("node").alias("before"), "node", "n")).alias("head"), F.sum("n").alias("words")).where("often > 1")
     return lists, cut(heads)
 
 
@@ -187,8 +190,8 @@ def packed_texts(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str)
 
 
 def star_pairs(lists: DataFrame, heads: DataFrame) -> DataFrame:
-    """``a, b, n_a, n_b``: each node of a list with the list's least node."""
-    pairs = join_sized(lists, heads.select("value", "often", "head"), ["value"], "often").where(F.col("node") > F.col("head.node"))
+    """``a, b, n_a, n_b``: each node of a list with the list's head."""
+    pairs = join_sized(lists, heads.select("value", "often", "head"), ["value"], "often").where(F.col("node") != F.col("head.node"))
     pairs = pairs.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
     return pairs.where(near_sizes()).distinct()
 
@@ -246,10 +249,10 @@ def forest(sets: list[np.ndarray], first: np.ndarray, sketch: np.ndarray, label:
 def crowd_links(lists: DataFrame, payload: DataFrame) -> DataFrame:
     """``a, b``: links that join what any links within a list of more than ``CROWD`` nodes join.
 
-    A list's nodes are dealt to parts of about ``BLOCK`` bytes; every two parts
+    A list's nodes are dealt to parts of about ``PART``, fewer where their texts are long; every two parts
     meet in one task, which looks at all nodes that are not joined yet.
     """
-    parts = F.ceil(F.col("words") * WORD / BLOCK)
+    parts = F.greatest(F.ceil(F.col("words") * WORD / BLOCK), F.ceil(F.col("often") / PART))
     part = F.pmod(F.xxhash64("node"), parts)
     dealt = lists.where(F.col("often") > CROWD).select("value", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     sent = dealt.select("value", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(payload, "node")
