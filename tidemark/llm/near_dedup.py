@@ -33,9 +33,9 @@ SHARED = 13
 #: Estimates from 64 hashes of such sets are below this with a chance of 2.4e-13.
 ESTIMATE = 21 / 64
 WORDS = 5
-GROUP = 256  # partners of a document that one task compares, at most
+GROUP = 96  # partners of a document that one task compares, at most
 CROWD = 32  # the longest list whose pairs are written out
-PART = 512  # nodes of a longer list that meet another such part in one task
+PART = 1_280  # nodes of a longer list that meet another such part in one task
 BLOCK = 8 << 20  # bytes of text that one task holds of others or of a longer list, twice
 WORD = 8  # bytes of text for each shingle, about
 
@@ -212,11 +212,12 @@ def listed_pairs(lists: DataFrame) -> DataFrame:
     return left.join(right, "value").where((F.col("a") < F.col("b")) & (F.col("own") != F.col("other")) & near_sizes()).select("a", "b", "n_a", "n_b").distinct()
 
 
-def forest(sets: list[np.ndarray], first: np.ndarray, sketch: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], first: np.ndarray, sketch: np.ndarray, label: np.ndarray, smaller: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links that join all sets which any links between them join, as places.
 
     ``first`` parts the sets in two; if both parts have some, only links from
-    one to the other are looked for.  Sets with one ``label`` are joined already.
+    one to the other are looked for.  Sets with one ``label`` are joined already,
+    and those with a common value in ``smaller`` meet in that value's list.
     One set at a time is held against all others that are not yet joined to it:
     sketches first, then the set itself is marked and counted in the others.
     """
@@ -225,11 +226,17 @@ def forest(sets: list[np.ndarray], first: np.ndarray, sketch: np.ndarray, label:
     _, label = np.unique(label, return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     mark, out = np.zeros(int(ids.max()) + 1, bool), []
+    elsewhere = np.full((len(sets), max(1, *map(len, smaller))), np.iinfo(np.int64).max)
+    for row, values in zip(elsewhere, smaller, strict=True):
+        row[: len(values)] = values
     two = first.any() and not first.all()
     for a in np.flatnonzero(first).tolist() if two else range(len(sets)):
         near = (100 * np.minimum(sizes, sizes[a]) >= 75 * np.maximum(sizes, sizes[a])) & (label != label[a])
         near &= ~first if two else np.arange(len(sets)) > a
         others = np.flatnonzero(near)
+        if len(smaller[a]):
+            at = np.minimum(np.searchsorted(smaller[a], elsewhere[others]), len(smaller[a]) - 1)
+            others = others[~(smaller[a][at] == elsewhere[others]).any(axis=1)]
         others = others[estimates(sketch[a], sketch[others])]
         if not len(others):
             continue
@@ -250,7 +257,8 @@ def crowd_links(lists: DataFrame, payload: DataFrame) -> DataFrame:
     """``a, b``: links that join what any links within a list of more than ``CROWD`` nodes join.
 
     A list's nodes are dealt to parts of about ``PART``, fewer where their texts are long; every two parts
-    meet in one task, which looks at all nodes that are not joined yet.
+    meet in one task, which looks at all nodes that are not joined yet; two
+    nodes that share several lists are held against each other in one of them.
     """
     parts = F.greatest(F.ceil(F.col("words") * WORD / BLOCK), F.ceil(F.col("often") / PART))
     part = F.pmod(F.xxhash64("node"), parts)
@@ -258,14 +266,15 @@ def crowd_links(lists: DataFrame, payload: DataFrame) -> DataFrame:
     sent = dealt.select("value", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(payload, "node")
 
     def run(table):
-        columns = (table[c].to_pylist() for c in ("node", "part", "component", "sketch", "data"))
+        columns = (table[c].to_pylist() for c in ("node", "part", "component", "sketch", "data", "listed"))
         held = {n: rest for n, *rest in zip(*columns, strict=True)}
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
         nodes, unpack = sorted(held), zstandard.ZstdDecompressor().decompress
         first, label = np.array([held[n][0] == i for n in nodes]), np.array([held[n][1] for n in nodes])
         found = []
         if (i == j or (first.any() and not first.all())) and (label != label[0]).any():
-            found = forest(list(sets_of([unpack(held[n][3]) for n in nodes])), first, filled([held[n][2] for n in nodes]), label)
+            smaller = [np.array([v for v in sorted(held[n][4]) if v < value], np.int64) for n in nodes]
+            found = forest(list(sets_of([unpack(held[n][3]) for n in nodes])), first, filled([held[n][2] for n in nodes]), label, smaller)
         return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.int64()), "b": pa.array([nodes[y] for _, y in found], pa.int64())})
 
     return sent.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
@@ -289,8 +298,11 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     stars = cut(verified(star_pairs(lists, heads)))
     left = apart(lists, heads, components(stars))
     release(docs.sparkSession)
-    payload = texts.join(classes.select("node", "sketch"), "node")
-    return cut(stars.unionByName(verified(listed_pairs(left))).unionByName(crowd_links(left, payload)))
+    listed = lists.groupBy("node").agg(F.collect_list("value").alias("listed"))  # INDEXED values at most
+    crowded = left.where(F.col("often") > CROWD).select("node").distinct()
+    payload = cut(texts.join(classes.select("node", "sketch"), "node").join(listed, "node").join(crowded, "node"))
+    short, long_ = cut(verified(listed_pairs(left))), cut(crowd_links(left, payload))
+    return stars.unionByName(short).unionByName(long_)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
