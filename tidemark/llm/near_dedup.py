@@ -154,12 +154,12 @@ def filled(sketches: list) -> np.ndarray:
     """Sketches as the rows of a matrix."""
     out = np.full((len(sketches), RETAINED), np.iinfo(np.uint64).max)
     for row, s in zip(out, sketches, strict=True):
-        row[: len(s)] = np.asarray(s, np.int64).view(np.uint64)
+        row[: len(s)] = np.asarray(s).view(np.uint64)
     return out
 
 
 def estimated(own: list[int], others: list[list[int]]) -> list[bool]:
-    mine, *rest = filled([own, *others])
+    mine, *rest = filled([np.array(s, np.int64) for s in (own, *others)])
     return estimates(mine, np.array(rest).reshape(-1, RETAINED)).tolist()
 
 
@@ -264,17 +264,18 @@ def crowd_links(lists: DataFrame, payload: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), parts)
     dealt = lists.where(F.col("often") > CROWD).select("value", "node", "component", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
     sent = dealt.select("value", "node", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(payload, "node")
+    sent = sent.withColumn("smaller", F.sort_array(F.filter("listed", lambda v: v < F.col("value")))).drop("listed")
 
     def run(table):
-        columns = (table[c].to_pylist() for c in ("node", "part", "component", "sketch", "data", "listed"))
+        columns = (table[c].to_pylist() for c in ("node", "part", "component", "data", "smaller"))
         held = {n: rest for n, *rest in zip(*columns, strict=True)}
-        value, i, j = (table[c][0].as_py() for c in ("value", "i", "j"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
         nodes, unpack = sorted(held), zstandard.ZstdDecompressor().decompress
         first, label = np.array([held[n][0] == i for n in nodes]), np.array([held[n][1] for n in nodes])
         found = []
         if (i == j or (first.any() and not first.all())) and (label != label[0]).any():
-            smaller = [np.array([v for v in sorted(held[n][4]) if v < value], np.int64) for n in nodes]
-            found = forest(list(sets_of([unpack(held[n][3]) for n in nodes])), first, filled([held[n][2] for n in nodes]), label, smaller)
+            sets = list(sets_of([unpack(held[n][2]) for n in nodes]))
+            found = forest(sets, first, filled([x[:RETAINED] for x in sets]), label, [np.array(held[n][3], np.int64) for n in nodes])
         return pa.table({"a": pa.array([nodes[x] for x, _ in found], pa.int64()), "b": pa.array([nodes[y] for _, y in found], pa.int64())})
 
     return sent.groupBy("value", "i", "j").applyInArrow(run, "a long, b long")
@@ -298,10 +299,9 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     stars = cut(verified(star_pairs(lists, heads)))
     left = apart(lists, heads, components(stars))
     release(docs.sparkSession)
-    listed = lists.groupBy("node").agg(F.collect_list("value").alias("listed"))  # INDEXED values at most
-    crowded = left.where(F.col("often") > CROWD).select("node").distinct()
-    payload = cut(texts.join(classes.select("node", "sketch"), "node").join(listed, "node").join(crowded, "node"))
-    short, long_ = cut(verified(listed_pairs(left))), cut(crowd_links(left, payload))
+    short = cut(verified(listed_pairs(left)))
+    crowded = left.where(F.col("often") > CROWD).groupBy("node").agg(F.collect_list("value").alias("listed"))  # INDEXED values at most
+    long_ = cut(crowd_links(left, texts.join(crowded, "node")))
     return stars.unionByName(short).unionByName(long_)
 
 
