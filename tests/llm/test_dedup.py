@@ -202,7 +202,7 @@ def test_drop_near_with_clashing_names(spark):
 
 
 def test_estimate_is_exact_for_small_sets():
-    a, b, c = list(range(1, 9)), list(range(1, 8)) + [50], list(range(5, 13))
+    a, b, c = list(range(1, 9)), list(range(1, 8)) + [50], list(range(6, 14))
     assert near_dedup.estimated(a, [b, c]) == [True, False]
 
 
