@@ -40,6 +40,67 @@ def corpus(seed, n=120):
 
 # Lines
 
+def plain_runs(rows, m):
+    """The maximal runs of documents without blank lines or equal ids, by the operator's rule."""
+    texts = {d: t.split("\n") for d, t in sorted(rows)}
+    found = {d: [] for d in texts}
+    widths = sorted({m, *(1 << k for k in range(12) if 1 << k > m)})
+    for w in widths:
+        first = {}
+        for d, lines in texts.items():
+            for p in range(len(lines) - w + 1):
+                first.setdefault(tuple(lines[p : p + w]), (d, p))
+        for d, lines in texts.items():
+            run = None
+            for p in range(len(lines) - w + 1):
+                at = first[tuple(lines[p : p + w])]
+                if at == (d, p):
+                    run = None
+                elif run and at == (run[2], run[3] + p - run[0]):
+                    run[1] += 1
+                else:
+                    found[d].append(run := [p, w, *at])
+    out = {}
+    for d, runs in found.items():
+        kept = [r for r in runs if not any(o is not r and o[0] <= r[0] and r[0] + r[1] <= o[0] + o[1] and (o[1] > r[1] or o[2:] == r[2:] and runs.index(o) < runs.index(r)) for o in runs)]
+        out[d] = sorted({tuple(r) for r in kept})
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_maximal_runs_need_every_level(spark, m):
+    """Runs of many lengths, each with its length and first copy; without the upper levels they come in pieces."""
+    rng = random.Random(11)
+    pool = [f"line {rng.randrange(6)}" for _ in range(400)]  # a few lines again and again, so that only long runs tell places apart
+    rows = [(0, "\n".join(pool))]
+    for d in range(1, 25):
+        lines = []
+        for _ in range(4):
+            at, n = rng.randrange(300), rng.randrange(1, 70)
+            lines += [f"own {d} {rng.random()}", *pool[at : at + n]]
+        rows.append((d, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup.line_dedup(df, min_lines=m).collect()}
+    want = plain_runs(rows, m)
+    assert got == want and max(n for x in want.values() for _, n, *_ in x) > 32
+    hashes = line_dedup.line_hashes(df, "doc_id", "text").withColumns({"last": F.lit(False), "o": F.col("doc_id"), "d": F.col("doc_id")})
+    cut_off = line_dedup.maximal_runs(line_dedup.suffix_ranks(hashes)[:2], m).collect()
+    assert {r.d: [(x.pos, x.lines, x.first_doc, x.first_start) for x in r.runs] for r in cut_off} != {d: x for d, x in want.items() if x}
+
+
+def test_runs_name_their_first_copy(spark):
+    big = (1 << 63) - 1
+    rows = [(big, "a\n\nb\nc"), (None, "x\na\nb\nc"), (3, "b\nc\nnew"), (3, "b\nc\nnew"), (4, " \nq\nb\nc\nq")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_id", "_hash", "_gone", "_lines", "id", "lines", "d", "runs", "n_lines")})
+    got = line_dedup.line_dedup(df)
+    assert got.columns == ["doc_id", "text", "_id", "_hash", "_gone", "_lines", "id", "lines", "d", "n_lines", "n_removed", "runs", "kept"]
+    seen = {r.doc_id: ([tuple(x) for x in r.runs], r.kept, r._gone, r.lines) for r in got.collect()}
+    assert seen[3] == ([], "b\nc\nnew", 1, 1)
+    assert seen[4] == ([(2, 2, 3, 0), (4, 1, 4, 1)], " \nq", 1, 1)
+    assert seen[big] == ([(2, 2, 3, 0)], "a\n", 1, 1)
+    assert seen[None] == ([(1, 2, big, 0), (2, 2, 3, 0)], "x", 1, 1)
+
+
 def plain_line_dedup(rows, m):
     order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
     numbered = {r: [(i, x) for i, x in enumerate(r[1].split("\n")) if x.encode().strip(SPACE)] for r in order}
@@ -79,7 +140,7 @@ def test_line_runs_within_a_document_and_over_powers_of_two(spark):
 def test_line_ranks_follow_the_suffix_order(spark):
     rng = random.Random(2)
     docs = [(k, k, [(i, rng.randrange(3)) for i in range(rng.randrange(1, 40))]) for k in range(20)]
-    df = spark.createDataFrame(docs, "o long, d long, lines array<struct<i: int, hash: long>>")
+    df = spark.createDataFrame(docs, "o long, d long, lines array<struct<i: int, hash: long>>").withColumn("last", F.lit(False))
     texts = {k: [h for _, h in x] for k, _, x in docs}
     for level, found in enumerate(line_dedup.suffix_ranks(df)):
         width = 1 << level

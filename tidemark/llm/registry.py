@@ -33,7 +33,10 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    runs = F.concat_ws(";", F.transform("runs", lambda r: F.concat_ws(":", r["start"], r["lines"], r["first_doc"], r["first_start"])))
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["lines"])), F.lit(0)).cast("long")
+    digest = {"kept_sha256": F.sha2(F.col("kept").cast("binary"), 256), "n_runs": F.size("runs").cast("long"), "longest_run": longest, "runs_sha256": F.sha2(runs.cast("binary"), 256)}
+    return found.select("doc_id", "n_lines", "n_removed", *(c.alias(k) for k, c in digest.items()))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +125,23 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 """
 
 LINES_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM s),
-f AS (SELECT *, CASE WHEN next IS NULL THEN false ELSE row_number() OVER (PARTITION BY line, next ORDER BY doc_id, p) > 1 END AS later FROM w),
-r AS (SELECT doc_id, i FROM (SELECT *, later OR coalesce(lag(later) OVER (PARTITION BY doc_id ORDER BY p), false) AS gone FROM f) WHERE gone),
-k AS (SELECT l.doc_id, count(*) AS n_lines, count(r.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE r.i IS NULL), '') AS kept
-      FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.i = l.i GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+t AS (SELECT doc_id, list(line ORDER BY p) AS lines, list(i ORDER BY p) AS places FROM s GROUP BY doc_id),
+v AS (SELECT doc_id, lines, places, w, unnest(range(0, len(lines) - w + 1)) AS p FROM t, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384]) AS w) WHERE w <= len(lines)),
+f AS (SELECT doc_id, w, p, places, min((doc_id, p, places[p + 1])) OVER (PARTITION BY w, lines[p + 1:p + w]) AS first FROM v),
+c AS (SELECT doc_id, w, p, places, first[1] AS fd, first[2] AS fp, first[3] AS fi FROM f WHERE first[1] <> doc_id OR first[2] <> p),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, w, fd, p - fp ORDER BY p) AS island FROM c),
+r AS (SELECT doc_id, w, fd, min(p) AS p, count(*) + w - 1 AS n, min(fi) AS fi, any_value(places) AS places FROM g GROUP BY doc_id, w, fd, p - fp, island),
+m AS (SELECT *, max(p + n) OVER (PARTITION BY doc_id ORDER BY p, n DESC, w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+x AS (SELECT * FROM m WHERE reached IS NULL OR p + n > reached),
+y AS (SELECT DISTINCT doc_id, unnest(places[p + 1:p + n]) AS i FROM x),
+z AS (SELECT doc_id, count(*) AS n_runs, max(n) AS longest_run, string_agg(places[p + 1] || ':' || n || ':' || fd || ':' || fi, ';' ORDER BY p) AS runs FROM x GROUP BY doc_id),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(y.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE y.i IS NULL), '') AS kept
+      FROM l LEFT JOIN y ON y.doc_id = l.doc_id AND y.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256,
+       coalesce(n_runs, 0) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(coalesce(runs, '')) AS runs_sha256
+FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINES_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op4_exact_topk": TOPK_SQL, "op9_near_dedup": NEAR_SQL, "op10_warc": WARC_SQL}
