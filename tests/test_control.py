@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import control
+from tidemark.operators.parsing import check_length
+from tidemark.sources import text
 
 
 def test_counts_come_with_the_action(spark):
@@ -26,3 +28,21 @@ def test_cancelled_jobs_fail(spark):
             spark.range(0, 1 << 35, 1, 2).agg(F.sum(F.hash("id"))).collect()
     thread.join()
     assert spark.range(3).count() == 3
+
+
+def test_a_buffer_sets_what_a_task_reads(spark, tmp_path):
+    (tmp_path / "in.txt").write_text("1. x\n" * 40_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    read = lambda: text.read_lines(spark, str(tmp_path / "in.txt")).rdd.getNumPartitions()
+    with control.buffered(spark, 20_000):
+        assert read() >= 10
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before and read() < 10
+    with pytest.raises(ValueError), control.buffered(spark, 0):
+        pass
+
+
+def test_null_lines_have_no_length(spark):
+    df = spark.createDataFrame([("abc",), (None,), ("",)], "value string")
+    assert check_length(df, 3).count() == 3
+    with pytest.raises(Exception, match="too long"):
+        check_length(df, 2).count()

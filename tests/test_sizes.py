@@ -1,7 +1,5 @@
 """Planners, budgets, generators, sinks and the stream."""
 
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,12 +21,12 @@ def model_buffer(requested, size, parallel):
         most = min(size // 20, 50 * MB)
     else:
         most = max(size // 10, 64 * KB)
-    return 1 << math.ceil(math.log2(min(requested, most)))
+    return 1 << (min(requested, most) - 1).bit_length()
 
 
 @pytest.mark.parametrize("parallel", [False, True])
 def test_buffer_size(spark, parallel):
-    cases = [(r, s) for r in (1, 64 * KB, 100_000, MB, 10 * MB, 3 * GB) for s in SIZES]
+    cases = [(r, s) for r in (1, 64 * KB, 64 * KB + 1, 100_000, MB, 10 * MB, 3 * GB, *(1 << k for k in range(20, 60))) for s in (*SIZES, 10 << 29, 10 << 31, 10 << 39, (10 << 39) + 10)]
     df = spark.createDataFrame(cases, "r long, s long")
     got = [x.b for x in df.select(sizing.buffer_size(F.col("r"), F.col("s"), parallel).alias("b")).collect()]
     assert got == [model_buffer(r, s, parallel) for r, s in cases]
@@ -74,25 +72,38 @@ def total(df):
 @pytest.mark.parametrize("target", [1, 100, 2048, 1 << 20])
 @pytest.mark.parametrize("kind", generate.KINDS)
 def test_generators_keep_the_budget(spark, target, kind):
-    df = generate.generator(kind, seed=3)(spark, target)
-    longest = max(len(w) for w in generate.WORDS) + 9
-    if generate.KINDS[kind].get("exceed", True):
-        assert target <= total(df) < target + longest
-    else:
-        assert target - longest < total(df) <= target
+    """Of the whole, and of every chunk by itself."""
+    for chunk in (None, 50_000):
+        df = generate.generator(kind, seed=3, **({"chunk_bytes": chunk} if chunk else {}))(spark, target)
+        sizes = {r.chunk: r.n for r in df.groupBy("chunk").agg(F.sum(g.line_bytes(F.col("value"))).alias("n")).collect()}
+        longest = max(len(w) for w in generate.WORDS) + 10
+        for k in range(-(-target // (chunk or target))):
+            size = min(chunk or target, target - k * (chunk or target))
+            if generate.KINDS[kind].get("exceed", True):
+                assert size <= sizes[k] < size + longest
+            else:
+                assert size - longest < sizes.get(k, 0) <= size
+
+
+def test_chunks_shift_their_numbers(spark):
+    """By a fiftieth of where they start, in 64 bits."""
+    first = {k: [r.value for r in generate.generator(k, chunk_bytes=5_000)(spark, 12_000).where("place = 0").orderBy("chunk").collect()] for k in ("chunk_buffer", "parallel")}
+    assert [int(v.partition(".")[0]) for v in first["chunk_buffer"]] == [1, 101, 201]
+    far = spark.range(1).select(generate.random_number(F.lit(5), 1, 50 << 40).alias("far"), generate.random_number(F.lit(5), 1).alias("near")).first()
+    assert far.far - far.near == 1 << 40
 
 
 def test_generated_lines_are_well_formed(spark):
-    words = ["Apple", "Banana is yellow", "Cherry", "日本"]
+    words = ["quartz", "a vein of ore", "Slate", "石"]
     df = generate.generate_lines(spark, 2048, words, seed=1)
     bad = df.where(~(g.strict_number(F.col("value")).between(1, generate.LARGEST) & g.strict_key(F.col("value")).isin(words)))
     assert df.count() > 0 and bad.count() == 0
 
 
 def test_generator_is_reproducible(spark):
-    a, b, c = (generate.generate_lines(spark, 4096, seed=s).orderBy("id").collect() for s in (1, 1, 2))
+    a, b, c = (generate.generate_lines(spark, 4096, seed=s).orderBy("place").collect() for s in (1, 1, 2))
     assert a == b and a != c
-    numbers = [r.value.partition(".")[0] for r in generate.generate_lines(spark, 500, numbers="sequential", exceed=False).orderBy("id").collect()]
+    numbers = [r.value.partition(".")[0] for r in generate.generate_lines(spark, 500, numbers="sequential", exceed=False).orderBy("place").collect()]
     assert numbers == [str(i + 1) for i in range(len(numbers))]
 
 
@@ -106,6 +117,9 @@ def test_budgets_across_blocks(spark):
     df = spark.range(1000).withColumn("value", F.lit("x" * 9))
     assert budgets.byte_budget_cut(df, "id", 1234, block=7).count() == 124
     assert budgets.char_budget_cut(df, "id", 1234, block=7).count() == 123
+    for target in (1, 10, 70, 71, 490, 491, 9_999, 10_000, 10_001):  # at and around ends of blocks
+        assert budgets.byte_budget_cut(df, "id", target, block=7).count() == min(1000, -(-target // 10))
+        assert budgets.char_budget_cut(df, "id", target, block=7).count() == min(1000, target // 10)
 
 
 def test_disk_check(tmp_path):
@@ -119,8 +133,19 @@ def test_write_lines(spark, tmp_path):
     sinks.write_lines(df.orderBy("value"), out)
     sinks.write_lines(df.orderBy("value"), out)
     assert [r.value for r in text.read_numbered_lines(spark, out).orderBy("line_no").collect()] == ["a", "b"]
-    with pytest.raises(ValueError):
-        sinks.write_lines(df, " ")
+    for write in (sinks.write_lines, sinks.write_single_file):
+        with pytest.raises(ValueError):
+            write(df, " ")
+    bad = df.withColumn("value", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_single_file(bad, str(tmp_path / "bad.txt"))
+    assert [p.name for p in tmp_path.iterdir() if "bad" in p.name] == []
+    with pytest.raises(KeyError), sinks.scratch(spark, "test") as path:
+        sinks.write_lines(df, path)
+        assert spark.read.text(path).count() == 2
+        raise KeyError
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.text(path)
     sinks.write_single_file(df.where("false"), str(tmp_path / "empty.txt"))
     assert (tmp_path / "empty.txt").read_bytes() == b""
 

@@ -101,6 +101,22 @@ def format_line(number: Column, text: Column) -> Column:
     return F.concat(number.cast("string"), F.lit(SEPARATOR), text)
 
 
+def key_slice(value: Column) -> tuple[Column, Column]:
+    """Where the key of a strict line starts (from 0) and how many characters it has; nulls for a rejected line."""
+    start = F.instr(value, ".").cast("long") + 1
+    good = strict_number(value).isNotNull()
+    return F.when(good, start), F.when(good, F.char_length(value) - start)
+
+
+def sliced(value: Column, start: Column, length: Column) -> Column:
+    return F.substring(value, (start + 1).cast("int"), length.cast("int"))
+
+
+def whole_part(a: Column, n: int) -> Column:
+    """``a`` divided by ``n``, rounded down, in whole numbers of 64 bits."""
+    return F.call_function("div", a - F.pmod(a, F.lit(n).cast("long")), F.lit(n).cast("long"))
+
+
 def utf16_order(key: Column) -> Column:
     """Sorts as UTF-16 code units do; plain strings sort by UTF-8 bytes.
 

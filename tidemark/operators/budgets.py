@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grammar import line_bytes, line_chars
+from ..functions.grammar import line_bytes, line_chars, whole_part
+from .ordering import unused
 
 
-def _running(lines: DataFrame, order: str, size, block: int) -> DataFrame:
-    """``_before``: the sizes of all lines before this one.
+def _cut_block(lines: DataFrame, order: str, size: Column, block: int, target: int, ahead: int) -> tuple[int, int] | None:
+    """The first block of ids with which the sum, ``ahead`` at first, is beyond ``target``, and the sum before it."""
+    sums = lines.groupBy(whole_part(F.col(order).cast("long"), block).alias("block")).agg(F.sum(size).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + ahead
+    found = sums.withColumn("before", before).where(F.col("before") + F.col("bytes") > target).orderBy("block").first()
+    return (found["block"], found["before"]) if found else None
 
-    In two steps, by blocks of ``block`` ids: sums of whole blocks, then within
-    each block; only the blocks' sums meet in one task.
+
+def _fitting(lines: DataFrame, order: str, size: Column, target: int, block: int, fits) -> DataFrame:
+    """Lines in order as long as ``fits(sum before, size)``, which no line does that ends beyond ``target`` but at most one.
+
+    The block of ids in which the sum passes the target is looked for among
+    blocks of ``block`` squared ids and then in that one; only its lines need a
+    running sum.  All before it are taken as they are, none after it is read.
     """
-    sized = lines.withColumns({"_size": size(F.col("value")), "_block": F.floor(F.col(order) / block)})
-    ahead = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sized.groupBy("_block").agg(F.sum("_size").alias("_sum"))
-    sums = sums.select("_block", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
-    inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_ahead") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    return sized.join(sums, "_block").withColumn("_before", before).drop("_ahead")
+    column, low, ahead = F.col(order), None, 0
+    for width in (block * block, block):
+        within = lines if low is None else lines.where(column.between(low, low + block * block - 1))
+        found = _cut_block(within, order, size, width, target, ahead)
+        if not found:
+            return lines
+        low, ahead = found[0] * width, found[1]
+    before, own = unused(lines.columns, "before", "size")
+    upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one block
+    last = lines.where(column.between(low, low + block - 1)).withColumn(own, size)
+    last = last.withColumn(before, F.coalesce(F.sum(own).over(upto), F.lit(0)) + ahead)
+    return lines.where(column < low).unionByName(last.where(fits(F.col(before), F.col(own))).drop(before, own))
 
 
 def byte_budget_cut(lines: DataFrame, order: str, target: int, block: int = 65_536) -> DataFrame:
-    """Lines in order until ``target`` bytes are reached; the last may exceed it."""
-    return _running(lines, order, line_bytes, block).where(F.col("_before") < target).drop("_before", "_size", "_block")
+    """Lines in order (of different whole numbers) until ``target`` bytes are reached; the last may exceed it."""
+    return _fitting(lines, order, line_bytes(F.col("value")), target - 1, block, lambda before, size: before < target)
 
 
 def char_budget_cut(lines: DataFrame, order: str, target: int, block: int = 65_536) -> DataFrame:
-    """Lines in order as long as they stay within ``target`` characters."""
-    return _running(lines, order, line_chars, block).where(F.col("_before") + F.col("_size") <= target).drop("_before", "_size", "_block")
+    """Lines in order (of different whole numbers) as long as they stay within ``target`` characters."""
+    return _fitting(lines, order, line_chars(F.col("value")), target, block, lambda before, size: before + size <= target)
 
 
 def chunk_offsets(chunks: DataFrame, order: str, size: str) -> DataFrame:

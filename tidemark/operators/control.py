@@ -24,6 +24,20 @@ def observed_parse(lines: DataFrame, grammar: str = "strict", name: str = "parse
     return parse_lines(watched, grammar), seen
 
 
+@contextmanager
+def buffered(spark: SparkSession, buffer_bytes: int) -> Iterator[None]:
+    """Inside, a task reads at most about ``buffer_bytes`` of a file: the size of the runs that are sorted in memory."""
+    if buffer_bytes <= 0:
+        raise ValueError("buffer_bytes must be positive")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(buffer_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Mark the jobs started inside, so that ``cancel`` with the same tag stops them."""

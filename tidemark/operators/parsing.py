@@ -13,7 +13,7 @@ def parse_lines(lines: DataFrame, grammar: str = "lenient", on_error: str = "dro
 
     Rejected lines (never any under ``lenient``) are dropped, kept with null
     ``key`` and ``number``, or make the job fail: ``on_error`` is ``drop``,
-    ``keep`` or ``raise``.
+    ``keep`` or ``raise``.  Columns called ``key`` or ``number`` are replaced.
     """
     if grammar not in GRAMMARS or on_error not in ("drop", "keep", "raise"):
         raise ValueError(f"unknown grammar or on_error: {grammar!r}, {on_error!r}")
@@ -33,7 +33,8 @@ def rejected_lines(lines: DataFrame, grammar: str = "strict") -> DataFrame:
 
 
 def check_length(lines: DataFrame, max_chars: int) -> DataFrame:
-    """Fail the job at a line longer than ``max_chars``."""
+    """Fail the job at a line longer than ``max_chars``; a null line has no length and passes."""
     if max_chars <= 0:
         raise ValueError("max_chars must be positive")
-    return lines.where(F.assert_true(F.char_length("value") <= max_chars, F.lit("line too long")).isNull())
+    fits = F.coalesce(F.char_length("value") <= max_chars, F.lit(True))
+    return lines.where(F.assert_true(fits, F.lit("line too long")).isNull())

@@ -7,6 +7,8 @@ import shutil
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.grammar import whole_part
+
 #: The least buffer, the two file sizes from which a smaller
 #: share of the file is the most, and the most there.
 LEAST = 64 * 1024
@@ -17,11 +19,12 @@ MOST_OVER_100 = 25 * 1024**2
 
 
 def _div(a: Column, n: int) -> Column:
-    return F.floor(a / n).cast("long")
+    return whole_part(a.cast("long"), n)
 
 
 def _power_of_two(x: Column) -> Column:
-    return F.pow(F.lit(2), F.ceil(F.log2(x))).cast("long")
+    """The least power of two that is not below ``x``, from its binary digits: no logarithm rounds."""
+    return F.when(x <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(x - 1))))
 
 
 def buffer_size(requested: Column, file_size: Column, parallel: bool = False) -> Column:
@@ -59,7 +62,7 @@ def merge_passes(runs: Column, ways: int = 10) -> Column:
 
 
 def chunk_count(target: Column, chunk: int) -> Column:
-    return F.ceil(target / chunk).cast("long")
+    return whole_part(target.cast("long") + (chunk - 1), chunk)
 
 
 def batch_lines(batch: Column, remaining: Column) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.grammar import strip_cr
-from ..operators.ordering import number_rows
 
 
 def read_lines(spark: SparkSession, path: str | list[str], newline_only: bool = False, valid_utf8: bool = True) -> DataFrame:
@@ -23,15 +22,27 @@ def read_lines(spark: SparkSession, path: str | list[str], newline_only: bool =
     return lines.select((strip_cr(value) if newline_only else value).alias("value"))
 
 
-def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Lines with ``run``, the file that each came from."""
-    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("run"))
+def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with ``run``, the file that each came from, and ``run_idx`` where the folders are named by it."""
+    lines = spark.read.text(paths)
+    named = [F.col("run_idx").cast("long").alias("run_idx")] if "run_idx" in lines.columns else []
+    return lines.select("value", F.col("_metadata.file_path").alias("run"), *named)
 
 
 def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``value`` and ``line_no`` from 1, in the order of files and of lines in them."""
-    placed = spark.read.text(path).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"))
-    return number_rows(placed, [F.col("_at")], "line_no").drop("_at")
+    """``value`` and ``line_no`` from 1, in the order of files and of lines in them.
+
+    No line is moved: the pieces that files are read in are counted, one small
+    row each, and a line's place in its piece is added to the lines of the
+    pieces before.
+    """
+    piece, at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")], F.monotonically_increasing_id().alias("at")
+    pieces = spark.read.text(path).select(*piece, at).groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    lines = spark.read.text(path).select("value", *piece, at)
+    numbered = lines.join(F.broadcast(starts), ["file", "block"])  # a row for each task that reads
+    return numbered.select("value", (F.col("at") + F.col("shift") + 1).alias("line_no"))
 
 
 def count_lines(lines: DataFrame) -> int:
