@@ -63,6 +63,12 @@ def test_archives_come_back(spark, tmp_path, frame_bytes, bundle_bytes):
             assert "Evil" not in parsed.headers
 
 
+def test_many_short_and_many_equal_pages(spark):
+    rows = [(i, None, "") for i in range(400)] + [(1_000 + i, "u", "short") for i in range(400)] + [(2_000 + i, "u", "e" * 100) for i in range(400)]
+    got = warc.archive(frame(spark, rows))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
+
+
 def test_no_pages(spark, tmp_path):
     assert warc.archive(frame(spark, []), str(tmp_path / "w")).count() == 0
 

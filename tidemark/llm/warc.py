@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import seekable
-from .common import checkpoint_dir, rows_of
+from .common import checkpoint_dir, cut, rows_of
 
 FRAME = 1 << 18  # bytes of records in a frame
 BUNDLE = 1 << 22  # and in a bundle, about
@@ -24,12 +24,16 @@ def with_responses(pages: DataFrame, least: int) -> DataFrame:
     """Add ``digest`` and ``first``, the smallest id with an equal payload where there is more than one row.
 
     Payloads of a digest meet only as partial minima; the join on the digests
-    that repeat can be split where one of them holds many rows.
+    that repeat can be split where one of them holds many rows.  Payloads too
+    short to be linked have a key of their own each, so that the very frequent
+    ones among them do not meet.
     """
     hashed = pages.withColumn("digest", F.sha2("payload", 256))
-    long_ = hashed.where(F.octet_length("payload") >= least)
-    repeated = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return hashed.join(repeated, "digest", "left")
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id())
+    hashed = hashed.withColumn("key", F.when(F.octet_length("payload") >= least, F.col("digest")).otherwise(alone))
+    groups = hashed.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("key"))
+    repeated = groups.agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    return hashed.join(cut(repeated), "key", "left").drop("key")  # written first, else a key's rows cannot be split
 
 
 def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_PAYLOAD, frame_bytes: int = FRAME, bundle_bytes: int = BUNDLE, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -75,7 +79,9 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
     Every frame is found through the seek table and unpacked, every record
     parsed and held against the table of places, every payload's digest
-    computed again.
+    computed again; what does not fit raises a ``ValueError``.  An empty table of
+    bundles gives no rows, records that repeat an identifier a row each; further
+    columns of the table are ignored.
     """
 
     def unpack(batches):
@@ -99,8 +105,15 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
-    """Write bundles, by default in the shared checkpoint folder, and read them back."""
+    """Write bundles and read them back; without a path they go once they are read."""
     spark = pages.sparkSession
-    path = path or f"{checkpoint_dir(spark)}/warc-{os.urandom(8).hex()}"
-    write_bundles(pages, path, **options)
-    return read_bundles(spark, path)
+    if path is not None:
+        write_bundles(pages, path, **options)
+        return read_bundles(spark, path)
+    path = f"{checkpoint_dir(spark)}/warc-{os.urandom(8).hex()}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        write_bundles(pages, path, **options)
+        return cut(read_bundles(spark, path))
+    finally:
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
