@@ -324,6 +324,22 @@ def test_substring_dedup(spark, seed, window, sheet):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+def test_the_largest_id_is_not_null(spark):
+    big = (1 << 63) - 1
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(big, words), (None, "a " + words), (1, words + " b"), (big, "c " + words)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=repr) == sorted([(big, 20, 20), (None, 21, 20), (1, 21, 0), (big, 21, 20)], key=repr)
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET", 500)
+    rows = corpus(8)
+    want = plain_substring(rows)
+    got = substring_dedup.substring_dedup(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_removed) for r in got) == collections.Counter((r[0], want[r][1]) for r in rows)
+
+
 def test_cut_repeats_leaves_whole_texts_alone(spark):
     rows = corpus(6)
     want = plain_substring(rows)

@@ -27,9 +27,10 @@ from .hashing import U, window_hashes, word_hashes
 
 WINDOW = 13
 SHEET = 1 << 20  # bytes of text in a sheet, about; a longer document is one by itself
-NULL_ID = np.iinfo(np.int64).max  # a null id is smaller than none
+NULL_ID = np.iinfo(np.int64).max  # in the order, a null id counts as the largest
+BUCKET = 32 << 20  # bytes of keys that one task decides on, about
 
-SHEETS = "sheet long, ids binary, sizes binary, data binary, carried binary"
+SHEETS = "sheet long, ids binary, nulls binary, sizes binary, data binary, carried binary"
 REPLY = "sheet long, step int, bucket int, bits binary"
 
 
@@ -51,11 +52,12 @@ def pack_sheets(docs: DataFrame, id_col: str, text_col: str, sheet_bytes: int, c
         number, packer = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
+            nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             rest = batch.select(batch.schema.names[2:])
             for i, j, texts in parts(batch, sheet_bytes):
                 sizes = np.array([len(t) for t in texts], np.int64)
-                row = ids[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts)), packer.compress(as_stream(rest.slice(i, j - i))) if carry else b""
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "sizes", "data", "carried"])
+                row = ids[i:j].tobytes(), nulls[i:j].tobytes(), sizes.tobytes(), packer.compress(b"".join(texts)), packer.compress(as_stream(rest.slice(i, j - i))) if carry else b""
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([v], pa.binary()) for v in row)], ["sheet", "ids", "nulls", "sizes", "data", "carried"])
                 number += 1
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), *([*others, text.isNull().alias("null")] if carry else []))
@@ -289,9 +291,15 @@ SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def decided(docs: DataFrame, id_col: str, text_col: str, window: int, sheet_bytes: int, carry: bool) -> tuple[DataFrame, DataFrame, int]:
-    """The sheets, all replies to them and the number of bits of a bucket."""
-    bits = max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    """The sheets, all replies to them and the number of bits of a bucket.
+
+    Buckets are as many as there are partitions, and so many that one holds
+    ``BUCKET`` bytes: the keys of step 1 are about twice the packed texts.
+    """
     sheets = cut(pack_sheets(docs, id_col, text_col, sheet_bytes, carry))
+    packed = sheets.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
+    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * packed // BUCKET)
+    bits = min(30, max(4, least - 1).bit_length())
     first = cut(probe(sheets, block_size(window), bits))
     release(docs.sparkSession)
     second = cut(verify(sheets, first, window, bits))
@@ -317,10 +325,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single spaces, and ``kept_sha256`` its digest.
 
     Null and empty texts have no words.  Rows with equal ids do not remove
-    from each other; a null id is larger than all others and null ids do not
-    remove from each other.  Extra columns are ignored; an empty table gives no
-    rows.  A sheet, and with it any single document, is looked at in one piece,
-    in memory of about a hundred times its bytes.
+    from each other; a null id counts as 2^63 - 1, the largest, and null ids do
+    not remove from each other.  Extra columns are ignored; an empty table gives
+    no rows.  A sheet, and with it any single document, is looked at in one
+    piece, in memory of 25 to 100 times its bytes.
     """
     sheets, replies, bits = decided(docs, id_col, text_col, window, sheet_bytes, carry=False)
 
@@ -331,7 +339,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kept = b" ".join(text.split()) if kept is None else kept
             for column, v in zip(out, (removed, hashlib.sha256(kept).hexdigest(), spans_of(own) if removed else [], kept), strict=True):
                 column.append(v)
-        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NULL_ID), "n_words": pa.array(s.counts, pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "spans": pa.array(out[2], SPAN)}
+        columns = {"doc_id": pa.array(s.ids, pa.int64(), mask=np.frombuffer(row["nulls"], bool)), "n_words": pa.array(s.counts, pa.int64()), "n_removed": pa.array(out[0], pa.int64()), "kept_sha256": pa.array(out[1], pa.string()), "spans": pa.array(out[2], SPAN)}
         return pa.table(columns | ({"kept": pa.array(out[3], pa.binary())} if with_text else {}))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>"
@@ -342,7 +350,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sheet_bytes: int = SHEET) -> DataFrame:
     """``docs`` with ``n_removed`` and ``kept``: what ``substring_dedup`` leaves of a text, the text itself if that is all of it.
 
-    The other columns travel with the texts, so that nothing is joined back.
+    The other columns travel with the texts, so that nothing is joined back;
+    they may have any names, but ``n_removed`` and ``kept`` are replaced.  Null
+    and empty texts stay as they are; ids that are null or repeat are taken as
+    by ``substring_dedup``.  An empty table gives no rows.
     """
     docs = docs.drop("n_removed", "kept")
     sheets, replies, bits = decided(docs, id_col, text_col, window, sheet_bytes, carry=True)
