@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tests.llm.cases import ODD, empty, frame, prose
 from tidemark.llm import toxicity as t
@@ -82,6 +83,54 @@ def test_features_of_long_texts_are_those_of_their_parts():
     assert set(rows.tolist()) == {1, 2, 4}
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.95])
+def test_the_gradient_is_that_of_the_plain_risk(prior):
+    rng = np.random.default_rng(3)
+    k, n_p, n_u = 6, 30, 80
+    x_p, x_u = rng.random((n_p, k)) < 0.4, rng.random((n_u, k)) < 0.2
+
+    def risk(theta):
+        """Positive and negative part, text by text."""
+        margin = lambda x: theta[k] + sum(theta[j] for j in range(k) if x[j])
+        loss = lambda m: float(np.log1p(np.exp(-m)))
+        plus = prior * sum(loss(margin(x)) for x in x_p) / n_p
+        return plus, sum(loss(-margin(x)) for x in x_u) / n_u - prior * sum(loss(-margin(x)) for x in x_p) / n_p
+
+    seen = set()
+    for _ in range(12):
+        theta = rng.normal(size=k + 1) * 2
+        g, negative = t.gradient(theta, (*np.nonzero(x_p), n_p), (*np.nonzero(x_u), n_u), prior)
+        assert abs(negative - risk(theta)[1]) < 1e-9
+        whole = (lambda th: sum(risk(th))) if negative >= 0 else (lambda th: -risk(th)[1])
+        step = np.eye(k + 1) * 1e-6
+        plain = [(whole(theta + step[j]) - whole(theta - step[j])) / 2e-6 for j in range(k + 1)]
+        assert np.allclose(g, plain, atol=1e-6)
+        seen.add(negative >= 0)
+    assert True in seen and (prior < 0.5 or False in seen)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id on very many rows does not fill the driver, and repeated rows count once."""
+    seen = []
+    monkeypatch.setattr(t, "fit", lambda p, u, prior: seen.append((len(p), len(u))))
+    learnable = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(learnable[0], f"text {k}") for k in range(3_000)] + [(learnable[1], "one text")] * 3_000 + [(i, f"x {i}") for i in learnable]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in learnable], "doc_id long, toxic int")
+    t.train(docs, labels, most_positive=50, most_unlabelled=70)
+    t.train(docs.where(f"doc_id = {learnable[1]}"), labels)
+    assert seen[0][0] <= 50 and seen[0][1] <= 70 and seen[1] == (2, 2)
+
+
+def test_recall_on_the_shared_table(spark):
+    """At sf0.1, with some 300 positives to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    held = t.toxicity(docs, t.train(docs, labels)).where("held_out").join(labels.where("toxic IS NOT NULL"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in held.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * (n.get((0, 1), 0) + n[0, 0])
+
+
 def test_case_is_folded():
     a, b = (t.text_features([x.encode()])[1] for x in ("ÉCOLE Straße", "école straße"))
     assert (a == b).all()

@@ -105,8 +105,8 @@ def without_copies(rows: list[np.ndarray], size: int = 32, share: float = 0.5) -
     return kept
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 8192, sure: float = 12.0) -> np.ndarray:
-    """Buckets that mark a text as positive, the surest first.
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = 8192, sure: float = 5.0) -> np.ndarray:
+    """Buckets that mark a text as positive, the surest first, ``most`` of them.
 
     Of the texts with such a feature at least half are positive, as the prior
     and the two shares have it, and the chance that so many positives have it
@@ -121,6 +121,28 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return good[np.argsort(-evidence[good], kind="stable")][:most]
 
 
+def gradient(theta: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[np.ndarray, float]:
+    """The step's direction for weights and, as the last, the bias; and the negative part of the risk.
+
+    Either sample is given as (rows, columns, number of rows).  Where the
+    negative part, the unlabelled text's less the positives' share, has fallen
+    below zero, only its way back up counts.
+    """
+    k, (pr, pc, n_p), (ur, uc, n_u) = len(theta) - 1, positive, unlabelled
+
+    def pulled(row, column, weight):
+        """Gradient of the sum of weight times margin."""
+        return np.append(np.bincount(column, weight[row], k), weight.sum())
+
+    mp = np.bincount(pr, theta[pc], n_p) + theta[k]
+    mu = np.bincount(ur, theta[uc], n_u) + theta[k]
+    up, uu = 1 / (1 + np.exp(-np.clip(mp, -30, 30))), 1 / (1 + np.exp(-np.clip(mu, -30, 30)))
+    negative = float(np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean())
+    g_plus = pulled(pr, pc, -prior * (1 - up) / n_p)
+    g_minus = pulled(ur, uc, uu / n_u) - pulled(pr, pc, prior * up / n_p)
+    return (g_plus + g_minus if negative >= 0 else -g_minus), negative
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 1_000, rate: float = 0.1, decay: float = 2e-6) -> Model:
     """Adam on the non-negative risk with the logistic loss, over all rows each round."""
     prior = min(max(prior, 1e-4), 0.9)
@@ -143,18 +165,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     theta[k] = bias
     first, second = np.zeros(k + 1), np.zeros(k + 1)
 
-    def pulled(row, column, weight):
-        """Gradient of the sum of weight times margin."""
-        return np.append(np.bincount(column, weight[row], k), weight.sum())
-
     for t in range(1, rounds + 1):
-        mp = np.bincount(pr, theta[pc], n_p) + theta[k]
-        mu = np.bincount(ur, theta[uc], n_u) + theta[k]
-        up, uu = 1 / (1 + np.exp(-np.clip(mp, -30, 30))), 1 / (1 + np.exp(-np.clip(mu, -30, 30)))
-        negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
-        g_plus = pulled(pr, pc, -prior * (1 - up) / n_p)
-        g_minus = pulled(ur, uc, uu / n_u) - pulled(pr, pc, prior * up / n_p)
-        g = g_plus + g_minus if negative >= 0 else -g_minus
+        g, _ = gradient(theta, (pr, pc, n_p), (ur, uc, n_u), prior)
         g[:k] += decay * theta[:k]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         theta -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -166,29 +178,36 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def extract(rows: DataFrame) -> list[np.ndarray]:
-    """Distinct buckets of each text of a bounded sample, in the order of ids."""
+def extract(rows: DataFrame, most: int) -> list[np.ndarray]:
+    """Distinct buckets of each text of at most ``most`` different rows, those with the smallest hashes, in the order of ids."""
 
     def run(batches):
+        only(None)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            row, bucket = text_features(texts)
-            cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-            packed = [bucket[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "features"])
-
-    got = rows.mapInArrow(run, "doc_id long, features binary").toArrow()
+            packed = []
+            for _, _, texts in parts(batch, STEP):
+                row, bucket = text_features(texts)
+                cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+                packed += [bucket[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(packed, pa.binary())], ["doc_id", "key", "features"])
+
+    found = rows.mapInArrow(run, "doc_id long, key long, features binary")
+    once = found.groupBy("doc_id", "key").agg(F.first("features").alias("features"))  # repeated rows count once
+    got = once.orderBy("key", "doc_id").limit(most).toArrow()
     order = sorted(zip(got["doc_id"].to_pylist(), got["features"].to_pylist(), strict=True))
     return [np.frombuffer(f, np.uint32).astype(np.int64) for _, f in order]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_positive: int = 3_000, most_unlabelled: int = 6_000, prior: float | None = None) -> Model:
-    """Fit on at most ``most_positive`` confirmed toxic documents and about ``most_unlabelled`` of any.
-
-    Both samples are the rows with the smallest hashes of their ids among those
-    that are not held out; no labels but the positives' are used, except that
-    without a ``prior`` the share of positives among the learnable labels
-    stands for it.
+    """Fit on at most ``most_positive`` confirmed toxic documents and ``most_unlabelled`` of any.
+
+    Both samples are rows with small hashes among those that are not held out
+    and have an id and a text; rows that repeat both count once.  No labels but
+    the positives' are used, except that without a ``prior`` the share of
+    positives among the learnable labels stands for it.  Null labels and
+    ids are left out; a document with both labels counts as toxic.  Without
+    documents or labels the model knows no feature and its score is below the
+    usual thresholds.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     known = rows_of(labels, doc_id=F.col(f"`{id_col}`").cast("long"), label=F.col(f"`{label_col}`").cast("int")).where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -196,14 +215,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if prior is None:
         share = known.agg(F.avg("label").alias("share")).first()["share"]
         prior = 0.1 if share is None else share
-    by_hash = F.xxhash64("doc_id")
-    ids = [r.doc_id for r in known.where("label = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(most_positive).collect()]
+    ids = [r.doc_id for r in known.where("label = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_positive).collect()]
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    positive = extract(rows.join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most most_positive ids
+    positive = extract(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), most_positive)  # at most most_positive ids
     n = docs.count()
-    below = min((1 << 63) - 1, int((3 * most_unlabelled / max(1, n) - 1) * (1 << 63)))  # a third is held out
-    unlabelled = extract(rows.where(by_hash <= below))
+    # a third is held out; the limit takes the rest of the excess
+    below = min((1 << 63) - 1, int((3.3 * most_unlabelled / max(1, n) - 1) * (1 << 63)))
+    unlabelled = extract(rows.where(F.col("key") <= below), most_unlabelled)
     return fit(positive, unlabelled, prior)
 
 
