@@ -38,21 +38,22 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-#: A key with more than this part of all rows is not shuffled but broadcast;
-#: there are fewer such keys than that.
-HOT = 1_024
-
-
 def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``groups``, which has a row for each key and, as ``size``, the number of rows with it.
 
-    ``size`` is dropped.  Keys that hold more than a ``HOT``-th of all these rows
-    are broadcast, so that their rows stay where they are; the others' share of
-    a task is bounded.  Both frames are read twice and should be cut before.
+    ``size`` is dropped.  Keys with more rows than an average partition would
+    have are broadcast, so that their rows stay where they are; there are fewer
+    of them than partitions.  The others are shuffled.  Both frames may be read
+    more than once and should be cut before.
     """
-    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
-    hot, rest = groups.where(F.col(size) * HOT > total).drop(size), groups.where(F.col(size) * HOT <= total).drop(size)
-    there = rows.join(F.broadcast(hot), keys)  # fewer than HOT rows
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most, least = groups.agg(F.sum(size), F.max(size), F.min(size)).first()
+    if not total or most * n <= total:
+        return rows.join(groups.drop(size), keys, how)
+    if least * n > total:  # fewer than n in all
+        return rows.join(F.broadcast(groups.drop(size)), keys, how)
+    hot, rest = groups.where(F.col(size) * n > total).drop(size), groups.where(F.col(size) * n <= total).drop(size)
+    there = rows.join(F.broadcast(hot), keys)
     others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
     return there.unionByName(others)
 
