@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -65,12 +67,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that nothing refers to any more.
+    """Let Spark delete the shuffle files that nothing refers to any more, and give back the driver's own memory.
 
-    Its cleaner acts on what the driver's two garbage collectors find; between
-    them they may leave the files of finished steps for long.
+    Spark's cleaner acts on what the driver's two garbage collectors find;
+    between them they may leave the files of finished steps for long.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
     spark._jvm.System.gc()
 
 

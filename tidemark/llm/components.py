@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_sized, release
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``edges`` (a, b).
 
     Every round each node takes the least label among its neighbours', then
@@ -17,10 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     broadcast, so that a node with very many edges is no hot spot; where very
     many nodes have one label, both sides of that join are plain shuffles, which
     Spark splits.  Each round is checkpointed; nothing comes to the driver but
-    numbers of rows.
+    numbers of rows.  After ``rounds``, if given, labels may still be several in
+    a component, but never one in two.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component"), F.count(F.lit(1)).alias("degree")))
+    done = 0
     while True:
         heard = join_sized(both, labels.withColumnRenamed("node", "b"), ["b"], "degree").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "node").select("node", "degree", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
@@ -29,5 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(lower.join(jump, "component").select("node", "degree", "before", F.col("next").alias("component")))
         labels = after.select("node", "component", "degree")
         release(edges.sparkSession)
-        if not after.where("before <> component").limit(1).count():
+        done += 1
+        if done == rounds or not after.where("before <> component").limit(1).count():
             return labels.select("node", "component")

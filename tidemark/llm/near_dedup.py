@@ -294,12 +294,15 @@ def links(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     release(docs.sparkSession)
 
     def verified(pairs):
-        return compare(cut(compare(cut(pairs), sketch, estimated)), texts, similar).select("a", "b")
+        maybe = cut(compare(cut(pairs), sketch, estimated))
+        release(docs.sparkSession)
+        return compare(maybe, texts, similar).select("a", "b")
 
     stars = cut(verified(star_pairs(lists, heads)))
-    left = apart(lists, heads, components(stars))
+    left = apart(lists, heads, components(stars, rounds=2))  # labels only save comparisons
     release(docs.sparkSession)
     short = cut(verified(listed_pairs(left)))
+    release(docs.sparkSession)
     crowded = left.where(F.col("often") > CROWD).groupBy("node").agg(F.collect_list("value").alias("listed"))  # INDEXED values at most
     long_ = cut(crowd_links(left, texts.join(crowded, "node")))
     return stars.unionByName(short).unionByName(long_)

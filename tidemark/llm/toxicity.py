@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, parts, rows_of, slices, text_rows
+from .common import only, parts, release, rows_of, slices, text_rows
 from .hashing import LOWER, Running, U, mix, runs
 
 BITS = 20
@@ -224,7 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a third is held out; the limit takes the rest of the excess
     below = min((1 << 63) - 1, int((3.3 * most_unlabelled / max(1, n) - 1) * (1 << 63)))
     unlabelled = extract(rows.where(F.col("key") <= below), most_unlabelled)
-    return fit(positive, unlabelled, prior)
+    model = fit(positive, unlabelled, prior)
+    del positive, unlabelled
+    release(spark)
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
