@@ -14,10 +14,9 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     Every round each node takes the least label among its neighbours', then
     the label of that label, so that chains shorten by more than half.  Labels
     are aggregated before they are shuffled and hubs' labels go out by
-    broadcast, so that a node with very many edges is no hot spot; where very
-    many nodes have one label, both sides of that join are plain shuffles, which
-    Spark splits.  Each round is checkpointed; nothing comes to the driver but
-    numbers of rows.  After ``rounds``, if given, labels may still be several in
+    broadcast, as does what many nodes have as their label, so that neither a
+    node with very many edges nor a large component is a hot spot.  Each round
+    is checkpointed; nothing comes to the driver but numbers of rows.  After ``rounds``, if given, labels may still be several in
     a component, but never one in two.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
@@ -27,8 +26,9 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         heard = join_sized(both, labels.withColumnRenamed("node", "b"), ["b"], "degree").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "node").select("node", "degree", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
         lower = cut(lower)
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        after = cut(lower.join(jump, "component").select("node", "degree", "before", F.col("next").alias("component")))
+        sizes = lower.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        jump = cut(lower.select(F.col("node").alias("component"), F.col("component").alias("next")).join(sizes, "component"))
+        after = cut(join_sized(lower, jump, ["component"], "size").select("node", "degree", "before", F.col("next").alias("component")))
         labels = after.select("node", "component", "degree")
         release(edges.sparkSession)
         done += 1
