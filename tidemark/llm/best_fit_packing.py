@@ -17,19 +17,17 @@ STEP = 1 << 20  # bytes of text looked at together
 GROUP = 16_384  # pieces that one task packs, about
 
 
-def sum_of_squares(lengths: np.ndarray, size: int, opened: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length in the order given, and each bin's fill.
 
-    N(g) is the number of open bins with g places left; ``opened`` empty ones
-    are open from the start.  A length s goes where the sum of all N(g) squared
-    becomes smallest: into a bin with gap g, which adds
-    2 (N(g - s) - N(g)) + 2, or into one that it fills, which adds 1 - 2 N(s).
-    Ties go to the smallest gap.  Only if nothing fits one more bin is opened.
+    N(g) is the number of open bins with g places left.  A length s goes where
+    the sum of all N(g) squared becomes smallest: into a bin with gap g, which
+    adds 2 (N(g - s) - N(g)) + 2, or into one that it fills, which adds
+    1 - 2 N(s).  Ties go to the smallest gap.  Only if nothing fits a bin is opened.
     """
     open_, bins_by_gap = np.zeros(size + 1, np.int64), [[] for _ in range(size + 1)]
-    open_[size], bins_by_gap[size] = opened, list(range(opened))[::-1]
     never = np.int64(1) << 40
-    held, bin_of, offset = [0] * opened, np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    held, bin_of, offset = [], np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     for k, s in enumerate(lengths.tolist()):
         gaps = open_[s:]
         added = np.where(gaps > 0, 2 * (open_[: size - s + 1] - gaps) + 2, never)
@@ -51,9 +49,9 @@ def sum_of_squares(lengths: np.ndarray, size: int, opened: int) -> tuple[np.ndar
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length: the longest go first, into as many bins as their sum needs."""
+    """Bin and offset of each length: the longest go first."""
     order = np.argsort(-lengths, kind="stable")
-    b, o, _ = sum_of_squares(lengths[order], size, -(-int(lengths.sum()) // size))
+    b, o, _ = sum_of_squares(lengths[order], size)
     bins, offsets = np.empty_like(b), np.empty_like(o)
     bins[order], offsets[order] = b, o
     return bins, offsets
