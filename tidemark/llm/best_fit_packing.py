@@ -86,25 +86,46 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` per piece.
 
     Documents are cut only where they are longer than ``size``.  Pieces are
-    dealt by a hash into groups of about ``group``, each packed by the
-    sum-of-squares rule in one task; a group leaves some unfilled sequences, a
-    share of all that does not grow with the data.  ``sequence_id`` is the
-    group's number times 2^32 plus the place in the group.
+    dealt out into groups of about ``group``, each packed by the
+    sum-of-squares rule in one task.  The sequences that are not full, of all
+    groups together, are dealt anew and their pieces packed once more; a group
+    keeps its sequences as they were where that does not save any.
+    ``sequence_id`` is the group's number times 2^32 plus the place in the group.
 
     Null and empty texts are one piece of length 1 (id 0).  Null ids and
     repeated rows are packed like others; extra columns are ignored; an empty
     table gives no rows.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    columns = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     cut_up = cut(pieces(docs, tokenizer, id_col, text_col, size))
-    n = max(1, math.ceil(cut_up.count() / group))
+
+    def groups(rows):
+        return max(1, math.ceil(rows.count() / group))
 
     def pack(table):
         only(None)
         table = table.sort_by([(c, "ascending") for c in ("ids_crc32", "doc_id", "piece")])
+        lengths, first = table["length"].to_numpy(), table["grp"][0].as_py() << 32
+        bins, offsets = pack_lengths(lengths, size)
+        loose = (np.bincount(bins, lengths) < size)[bins]
+        added = {"sequence_id": pa.array(bins + first, pa.int64()), "offset": pa.array(offsets, pa.int64()), "loose": pa.array(loose)}
+        for name, values in added.items():
+            table = table.append_column(name, values)
+        return table.drop_columns(["grp"])
+
+    def pack_again(table):
+        only(None)
+        table = table.drop_columns(["grp", "loose"]).sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        sequences = np.unique(table["sequence_id"].to_numpy())
         bins, offsets = pack_lengths(table["length"].to_numpy(), size)
-        first = table["grp"][0].as_py() << 32
-        return table.drop_columns(["grp"]).append_column("sequence_id", pa.array(bins + first, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        if bins.max() + 1 >= len(sequences):
+            return table
+        return table.drop_columns(["sequence_id", "offset"]).append_column("sequence_id", pa.array(sequences[bins])).append_column("offset", pa.array(offsets, pa.int64()))
+
+    def dealt(rows, by):
+        return rows.withColumn("grp", F.pmod(F.xxhash64(by), F.lit(groups(rows)))).groupBy("grp")
 
-    dealt = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
-    return dealt.groupBy("grp").applyInArrow(pack, schema)
+    # by the place in the checkpoint, so that equal rows spread as well
+    packed = cut(dealt(cut_up, F.monotonically_increasing_id()).applyInArrow(pack, f"{columns}, loose boolean"))
+    loose = packed.where("loose")
+    return packed.where("not loose").drop("loose").unionByName(dealt(loose, "sequence_id").applyInArrow(pack_again, columns))
