@@ -1,5 +1,8 @@
 """Planners, budgets, generators, sinks and the stream."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +165,51 @@ def test_stream_sorts_each_file_and_runs_again_without_harm(spark, tmp_path):
     for r in spark.read.text(str(tmp_path / "out")).select("batch", "value").collect():
         got.setdefault(r.batch, []).append(r.value)
     assert {k: sorted(v) for k, v in got.items()} == {0: ["1. A", "2. A"], 1: ["1. A", "9. Z"]}
+
+
+def test_stream_sorts_many_batches_in_one_trigger(spark, tmp_path):
+    """Each file is a batch by itself and numbered by time through all triggers; a trigger that failed runs again without harm."""
+    source, out, state = (tmp_path / x for x in ("in", "out", "state"))
+    source.mkdir()
+    rng, made = random.Random(3), {}
+
+    def arrive(names, n=40):
+        for k, name in enumerate(names):
+            made[name] = [f"{rng.choice(['', '0'])}{rng.randrange(20)}. {rng.choice('pqr')}" for _ in range(n)]
+            (source / name).write_text("".join(x + "\n" for x in made[name]))
+            os.utime(source / name, (len(made) + 1e9, len(made) + 1e9))
+
+    def sort(**options):
+        batches.batch_sort_stream(spark, str(source), str(out), str(state), **options).awaitTermination()
+        return [p.name for p in sorted((state / "commits").glob("[0-9]*"))]
+
+    def found():
+        folders = {int(p.name.partition("=")[2]): p for p in out.glob("batch=*")}
+        return {k: "".join(f.read_text() for f in sorted(p.glob("part-*"))).splitlines() for k, p in folders.items()}
+
+    def plainly(*names):
+        first = {}
+        for line in (x for name in sorted(names) for x in made[name]):  # by path, as the lines of a batch are seen
+            first.setdefault((line.partition(". ")[2], int(line.partition(". ")[0])), line)
+        return [first[x] for x in sorted(first)]
+
+    early = [f"{k * 7 % 23:02} é%.txt" for k in range(23)]
+    arrive(early)
+    assert sort() == ["0"]  # one trigger, not one a file
+    assert found() == {k: plainly(name) for k, name in enumerate(early)}
+    late = ["z.txt", "a.txt", "m.txt", "c.txt", "b.txt"]
+    arrive(late)
+    assert sort(files_per_batch=2, batches_per_trigger=2) == ["0", "1", "2"]
+    expected = {k: plainly(name) for k, name in enumerate(early)} | {23: plainly("z.txt", "a.txt"), 24: plainly("m.txt", "c.txt"), 25: plainly("b.txt")}
+    assert found() == expected
+    for p in (*(state / "commits").glob("*2*"), *(out / "batch=25").glob(".part-*")):
+        p.unlink()  # as if the last trigger had failed while it wrote
+    for p in (out / "batch=25").glob("part-*"):
+        p.write_text("half a ba")
+    assert sort(files_per_batch=2, batches_per_trigger=2) == ["0", "1", "2"]
+    assert found() == expected
+    arrive(["empty.txt"], 0)
+    sort()
+    arrive(["last.txt"])
+    sort()
+    assert found() == expected | {26: plainly("last.txt")}
