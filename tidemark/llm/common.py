@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +71,29 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that nothing refers to any more, and give back the driver's own memory.
 
     Spark's cleaner acts on what the driver's two garbage collectors find;
-    between them they may leave the files of finished steps for long.
+    between them they may leave the files of finished steps for long.  What the
+    driver's Python and its JVM have freed outside of the Java heap (the
+    compilers' arenas, buffers) would else stay with their allocators.
     """
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
     spark._jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # only HotSpot on Linux has it, from 17.0.9 on
+        _trim_jvm(spark)
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """What ``jcmd PID System.trim_native_heap`` does to the driver's JVM."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    arguments = array(jvm.java.lang.Object, 4)  # no arguments and no signature
+    arguments[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    arguments[1] = "systemTrimNativeHeap"
+    # by the interface's method, as the server's own class is not open to others
+    methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+    next(m for m in methods if m.getName() == "invoke").invoke(server, arguments)
 
 
 def rows_of(df: DataFrame, **columns: str | Column) -> DataFrame:

@@ -224,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a third is held out; the limit takes the rest of the excess
     below = min((1 << 63) - 1, int((3.3 * most_unlabelled / max(1, n) - 1) * (1 << 63)))
     unlabelled = extract(rows.where(F.col("key") <= below), most_unlabelled)
+    release(spark)  # the JVM's copies of the samples, before the fit takes its own memory
     model = fit(positive, unlabelled, prior)
     del positive, unlabelled
     release(spark)
