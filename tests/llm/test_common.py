@@ -4,7 +4,8 @@ import gc
 import time
 from pathlib import Path
 
-from tidemark.llm.common import release
+from tidemark.llm import common
+from tidemark.llm.common import cut, release
 
 
 def test_release_gives_back_what_the_jvm_has_freed(spark):
@@ -27,3 +28,12 @@ def test_release_gives_back_what_the_jvm_has_freed(spark):
     release(spark)
     assert before - resident() > 50
     assert held.size() == 100
+
+
+def test_a_cut_gives_memory_back_only_after_a_while(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", calls.append)
+    monkeypatch.setattr(common, "_released", time.monotonic(), raising=False)
+    assert cut(spark.range(9)).count() == 9 and not calls
+    monkeypatch.setattr(common, "_released", time.monotonic() - 60, raising=False)
+    assert cut(spark.range(9)).count() == 9 and calls == [spark]

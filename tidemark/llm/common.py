@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Word separators of every word-based operator: space and 0x09 to 0x0D, which
 #: is what ``bytes.split()`` splits on.
 SPACES = r"[\x20\x09-\x0D]+"
+EVERY = 5  # seconds after which a cut gives back memory as well
+_released = time.monotonic()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -62,9 +65,16 @@ def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, h
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
+    """Write ``df`` to the reliable checkpoint folder and go on from there.
+
+    What the driver needs outside of the Java heap grows from plan to plan, so
+    that it is given back after any step once ``EVERY`` seconds have gone by.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _released >= EVERY:
+        release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -75,6 +85,7 @@ def release(spark: SparkSession) -> None:
     driver's Python and its JVM have freed outside of the Java heap (the
     compilers' arenas, buffers) would else stay with their allocators.
     """
+    global _released
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only glibc has it
@@ -82,6 +93,7 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
     with contextlib.suppress(Py4JError):  # only HotSpot on Linux has it, from 17.0.9 on
         _trim_jvm(spark)
+    _released = time.monotonic()
 
 
 def _trim_jvm(spark: SparkSession) -> None:
