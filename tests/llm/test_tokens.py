@@ -184,3 +184,22 @@ def test_packing_needs_few_more_than_the_sum():
     lengths = np.minimum(np.exp(rng.normal(6, 1.2, 20_000)).astype(np.int64) + 1, 2048)
     bins, _ = packing.pack_lengths(lengths, 2048)
     assert len(set(bins.tolist())) <= 1.001 * -(-lengths.sum() // 2048)
+
+
+def test_chunks_of_ascii_letters_need_no_pattern(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.llm import word_bpe
+
+    seen, pattern = [], word_bpe.PLAIN
+    monkeypatch.setattr(word_bpe, "PLAIN", SimpleNamespace(fullmatch=lambda text: seen.append(text) or pattern.fullmatch(text)))
+    monkeypatch.setattr(word_bpe.ChunkIds, "kept", 12)
+    monkeypatch.setattr(word_bpe.ChunkIds, "passing_most", 5)
+    lib, table = Tokenizer.from_file(BPE), word_bpe.ChunkIds(BPE)
+    texts = [t or "" for _, t in ODD] + ["Letters alone, or a sign; then: more. LETTERS letters .. a,; x1 Ünder don't"]
+    for text in texts * 2:
+        chunks = text.encode().split()
+        table.known([chunks])
+        got = b"".join(table[c] for c in chunks)
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == lib.encode(text, add_special_tokens=False).ids
+    assert seen and not any(s.isascii() and s.rstrip(",.;:").isalpha() and len(s) - len(s.rstrip(",.;:")) < 2 for s in seen)

@@ -9,6 +9,7 @@ rest goes through the library's merges, many at a time.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
 
@@ -138,7 +139,7 @@ class ChunkIds(dict):
             for chunk in self.passing:
                 del self[chunk]
             self.passing.clear()
-        new = [c for c in chunks if c not in self]
+        new = list(itertools.filterfalse(self.__contains__, chunks))
         for k in range(0, len(new), JOINED):
             self.learn(new[k : k + JOINED])
 
@@ -147,40 +148,53 @@ class ChunkIds(dict):
             self.passing.append(chunk)
         self[chunk] = ids
 
+    def enter_all(self, chunks: list[bytes], ids: list[bytes]) -> None:
+        if len(self) + len(chunks) <= self.kept:
+            self.update(zip(chunks, ids, strict=True))
+        else:
+            for c, i in zip(chunks, ids, strict=True):
+                self.enter(c, i)
+
     def one(self, chunk: bytes) -> None:
         ids = library(self.path).encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
         self.enter(chunk, struct.pack(f"<{len(ids)}I", *ids))
 
     def learn(self, chunks: list[bytes]) -> None:
-        parts, unknown, lower = [], set(), b"\n".join(chunks).decode("utf-8", "replace")
-        for chunk, plain, text in zip(chunks, lower.split("\n"), lower.lower().split("\n"), strict=True):
-            if text.isalpha():
-                found = [text.encode()]
-            elif text[-1] in ",.;:" and text[:-1].isalpha():
-                found = [text[:-1].encode(), text[-1].encode()]
+        single, pieces, whole, parts, unknown = [], [], [], [], set()
+        for chunk, low in zip(chunks, b"\n".join(chunks).lower().split(b"\n"), strict=True):
+            if low.isalpha():  # of bytes: ASCII letters alone, which are one pre-token
+                found = None
+            elif low[-1] in b",.;:" and low[:-1].isalpha():
+                found = (low[:-1], low[-1:])
             else:
-                found = [p.encode() for p in PRETOKEN.findall(text)]
-            if PLAIN.fullmatch(plain) is None or "<|" in plain:
-                self.one(chunk)
-                continue
-            parts.append((chunk, found))
-            for p in found:
-                if p not in self:
-                    unknown.add(p)
+                plain = chunk.decode("utf-8", "replace")
+                if PLAIN.fullmatch(plain) is None or "<|" in plain:
+                    self.one(chunk)
+                    continue
+                text = plain.lower()
+                low, found = text.encode(), None if text.isalpha() else [p.encode() for p in PRETOKEN.findall(text)]
+            if found:
+                pieces.append(chunk)
+                parts.append(found)
+                unknown.update(found)
+            else:
+                unknown.add(low)
+                if low != chunk:
+                    single.append(chunk)
+                    whole.append(low)
+        unknown = list(itertools.filterfalse(self.__contains__, unknown))
         if unknown:
-            words = list(unknown)
-            found = library(self.path).encode(b" ".join(words).decode(), add_special_tokens=False)
+            found = library(self.path).encode(b" ".join(unknown).decode(), add_special_tokens=False)
             number = np.array(found.word_ids)
-            if number[-1] + 1 == len(words):
-                data, cuts = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(number, np.arange(len(words) + 1))).tolist()
-                for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-                    self.enter(w, data[a:b])
+            if number[-1] + 1 == len(unknown):
+                data, cuts = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(number, np.arange(len(unknown) + 1))).tolist()
+                self.enter_all(unknown, [data[a:b] for a, b in itertools.pairwise(cuts)])
             else:
-                for w in words:
+                for w in unknown:
                     self.one(w)
-        for chunk, found in parts:
-            if len(found) > 1 or found[0] != chunk:
-                self.enter(chunk, self[found[0]] if len(found) == 1 else b"".join([self[p] for p in found]))
+        get = self.__getitem__
+        self.enter_all(single, list(map(get, whole)))
+        self.enter_all(pieces, [b"".join(map(get, found)) for found in parts])
 
 
 @functools.cache
